@@ -99,7 +99,7 @@ def mix_sources(
     offsets = sums.select(
         F.col("source").alias("_ms"), F.col("_mb").alias("_mb2"), F.coalesce(before, F.lit(0)).alias("_mstart")
     )
-    inside = Window.partitionBy(*key).orderBy("_mhash", "doc_id", "size", *(f"_mc_{c}" for c in carry))
+    inside = Window.partitionBy(*key).orderBy("_mhash", "doc_id", "size")
     inner = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     lined = placed.withColumn("_minner", inner).join(
         offsets, F.col("source").eqNullSafe(F.col("_ms")) & (F.col("_mb") == F.col("_mb2"))

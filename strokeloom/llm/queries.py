@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from strokeloom.llm.decontaminate import op2_benchmark_decontamination
 from strokeloom.llm.mixing import op6_mixing_sources
+from strokeloom.llm.neighbours import op4_nearest_neighbours
 from strokeloom.llm.secrets import op8_secret_scans
 from strokeloom.llm.sharding import op10_sharding
+from strokeloom.llm.simhash import op1_simhash_near_dedup
+from strokeloom.llm.substrings import op9_substring_dedup
+from strokeloom.llm.suffixes import op3_suffix_array_dedup
+from strokeloom.llm.tokens import op5_token_counts
+from strokeloom.llm.toxicity import op7_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_simhash_near_dedup,
         op2_benchmark_decontamination,
+        op3_suffix_array_dedup,
+        op4_nearest_neighbours,
+        op5_token_counts,
         op6_mixing_sources,
+        op7_toxicity,
         op8_secret_scans,
+        op9_substring_dedup,
         op10_sharding,
     )
 }

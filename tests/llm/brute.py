@@ -80,3 +80,56 @@ def secrets(docs):
         joined = lambda spans: ",".join(f"{s[2]}:{s[0]}:{s[3]}" for s in sorted(spans))
         out.append((doc, joined(base), joined({s[:4] for s in base} | live)))
     return sorted(out, key=str)
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+
+
+def fingerprint(text):
+    import xxhash
+
+    w = words_of(text)
+    if not w:
+        return 0
+    n = min(3, len(w))
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + n]), 42) for i in range(len(w) - n + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash(docs, radius=2):
+    """docs: [(doc_id, text)] -> sorted (doc_id, fingerprint, component_id)."""
+    prints = [fingerprint(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    least: dict[int, int | None] = {}
+    for i, (doc, _) in enumerate(docs):
+        r = find(i)
+        least[r] = min((x for x in (least.get(r), doc) if x is not None), default=None)
+    return sorted(((doc, f"{prints[i]:016x}", least[find(i)]) for i, (doc, _) in enumerate(docs)), key=str)
+
+
+def substrings(docs, threshold=100):
+    """docs: [(doc_id, text)], in order -> (doc_id, n_bytes, n_removed, n_spans, sha of the rest)."""
+    seen, out = set(), []
+    for doc, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - threshold + 1):
+            s = data[i : i + threshold]
+            if s in seen:
+                gone[i : i + threshold] = b"\x01" * threshold
+            seen.add(s)
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        spans = len(re.findall(b"\x01+", bytes(gone)))
+        out.append((doc, len(data), sum(gone), spans, sha(kept)))
+    return sorted(out, key=str)
