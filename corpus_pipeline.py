@@ -1,15 +1,89 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: toxic documents go, one document of each group of near
+copies stays, documents with benchmark passages go, the rest is mixed to the sources' targets and
+dealt into shards.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of docs; the last adds `size`,
+`shard` and `slot` (they replace columns of these names). Stages keep null ids and texts, repeated
+rows and extra columns; on an empty table each returns an empty table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strokeloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from strokeloom.llm.common import materialize
+
+LAST = (1 << 63) - 1
+#: A document goes if at least this many of its words lie in benchmark windows of the full size, or
+#: in a whole shorter item: five words, as in other stages on word shingles.
+LEAST_HIT = 5
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score at or over their language's threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs.select("doc_id", "text", "lang"), labels)
+    scored = toxicity.with_scores(docs, model, name="_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.threshold_of(model, F.col("lang"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: the one of least id (null last), then of least fingerprint."""
+    printed = simhash.with_fingerprints(docs)
+    small = materialize(printed.select("doc_id", "_fp").distinct(), "simhash")
+    groups = simhash.near_duplicate_groups(small)
+    rank = F.coalesce("doc_id", F.lit(LAST))
+    kept = small.join(groups, "_fp").groupBy("_root").agg(F.min(F.struct(rank.alias("_rank"), "_fp")).alias("k")).select("k.*")
+    hits = printed.withColumn("_rank", rank).join(kept, ["_rank", "_fp"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("_rank", "_fp").orderBy(F.xxhash64(*docs.columns)))
+    return hits.withColumn("_n", one).where("_n = 1").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with LEAST_HIT words or more in benchmark passages."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate.decontaminate(docs.select("doc_id", "text"), items).where(F.col("n_hit") >= LEAST_HIT)
+    hit = found.select(F.coalesce("doc_id", F.lit(LAST)).alias("_rank"), "_dh1", "_dh2").distinct()
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    keyed = docs.withColumns({"_rank": F.coalesce("doc_id", F.lit(LAST)), "_dh1": one, "_dh2": two})
+    return keyed.join(hit, ["_rank", "_dh1", "_dh2"], "left_anti").select(*docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's runs take words of it: never, once or twice."""
+    mixed = mixing.mix_sources(docs.withColumn("_all", F.struct(*docs.columns)), carry=("_all",))
+    runs = F.filter(F.array("first", "second"), lambda taken: taken > 0)
+    return mixed.select("_all", F.explode(runs)).select("_all.*")
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its slot there. Placement works on digests; texts move once."""
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    keys = {"_h1": F.xxhash64(*docs.columns), "_h2": F.xxhash64(F.lit(1), *docs.columns)}
+    digest = docs.select(size.alias("size"), *(c.alias(k) for k, c in keys.items()))
+    placed = sharding.shard_documents(digest)
+    # Rows alike in all columns are one row here, joined to each of its places.
+    one = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(1)))
+    texts = docs.withColumns(keys).withColumn("_n", one).where("_n = 1").drop("size", "shard", "slot")
+    columns = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    return texts.join(placed, ["_h1", "_h2"]).select(*columns, "size", "shard", "slot")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("mixing_sources", mixing_sources),
+    ("sharding", shards),
+]
+#: The classifier, the fingerprints and the seeded shuffle are beyond SQL; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
