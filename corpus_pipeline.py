@@ -4,11 +4,13 @@ dealt into shards.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of docs; the last adds `size`,
 `shard` and `slot` (they replace columns of these names). Stages keep null ids and texts, repeated
-rows and extra columns; on an empty table each returns an empty table.
+rows and extra columns of any name; on an empty table each returns an empty table.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,22 @@ LAST = (1 << 63) - 1
 LEAST_HIT = 5
 
 
+#: Columns that stages read; all others travel in one struct, so that no name can clash.
+MAIN = ("doc_id", "text", "lang", "source")
+
+
+def _stage(run, added: tuple[str, ...] = ()):
+    @wraps(run)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in MAIN]
+        rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+        out = run(spark, docs.select(*MAIN, rest.alias("_rest")), sf_dir)
+        given = [F.col(c) if c in MAIN else F.col("_rest").getField(c).alias(c) for c in docs.columns if c not in added]
+        return out.select(*given, *added)
+
+    return wrapped
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score at or over their language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -58,6 +76,9 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixed.select("_all", F.explode(runs)).select("_all.*")
 
 
+ADDED = ("size", "shard", "slot")
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and its slot there. Placement works on digests; texts move once."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
@@ -66,17 +87,16 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(digest)
     # Rows alike in all columns are one row here, joined to each of its places.
     one = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(1)))
-    texts = docs.withColumns(keys).withColumn("_n", one).where("_n = 1").drop("size", "shard", "slot")
-    columns = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    return texts.join(placed, ["_h1", "_h2"]).select(*columns, "size", "shard", "slot")
+    texts = docs.withColumns(keys).withColumn("_n", one).where("_n = 1")
+    return texts.join(placed, ["_h1", "_h2"]).select(*docs.columns, *ADDED)
 
 
 STAGES = [
-    ("toxicity", toxicity_filter),
-    ("simhash_near_dedup", near_dedup),
-    ("benchmark_decontamination", decontamination),
-    ("mixing_sources", mixing_sources),
-    ("sharding", shards),
+    ("toxicity", _stage(toxicity_filter)),
+    ("simhash_near_dedup", _stage(near_dedup)),
+    ("benchmark_decontamination", _stage(decontamination)),
+    ("mixing_sources", _stage(mixing_sources)),
+    ("sharding", _stage(shards, ADDED)),
 ]
 #: The classifier, the fingerprints and the seeded shuffle are beyond SQL; tests hold them against plain versions.
 ORACLE_SQL = None

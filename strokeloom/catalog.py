@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from strokeloom.plans import ingest, sessions, trajectories
+
+QUERIES = trajectories.QUERIES | sessions.QUERIES | ingest.QUERIES
+ORACLE_SQL = trajectories.ORACLE_SQL | sessions.ORACLE_SQL | ingest.ORACLE_SQL

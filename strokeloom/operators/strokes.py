@@ -65,20 +65,33 @@ def ink_segments(frames: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return points.withColumns({"from_p": F.lag("p").over(w), "from_q": F.lag("q").over(w)})
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, with value computed once: a lambda's variable is bound, an expression repeated."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def feature_array(points: Column) -> Column:
     """array<struct<p,q,stroke_id>> of a whole sample to array<array<double>>, in the row."""
 
-    def at(i: Column) -> Column:
-        return F.get(points, i)
+    def directed(d: Column) -> Column:
+        c, s = _direction(d["dp"], d["dq"])
+        return F.struct(d["dp"].alias("dp"), d["dq"].alias("dq"), c.alias("c"), s.alias("s"))
+
+    def steps(pts: Column) -> Column:
+        back = lambda i: F.get(pts, i - 1)
+        move = lambda c, i: F.struct((c["p"] - back(i)["p"]).alias("dp"), (c["q"] - back(i)["q"]).alias("dq"))
+        return F.transform(pts, lambda c, i: _let(move(c, i), directed))
+
+    def rows(pts: Column, dirs: Column) -> Column:
+        def row(c: Column, i: Column) -> Column:
+            one, two = F.get(dirs, i), F.get(dirs, i - 1)
+            same = F.when(F.get(pts, i + 1)["stroke_id"] == c["stroke_id"], 1.0).otherwise(0.0)
+            values = (
+                F.coalesce(one["dp"], F.lit(0.0)), F.coalesce(one["dq"], F.lit(0.0)), F.coalesce(one["s"], F.lit(0.0)), F.coalesce(one["c"], F.lit(1.0)),
+                F.coalesce(one["s"] * two["c"] - one["c"] * two["s"], F.lit(0.0)), F.coalesce(one["c"] * two["c"] + one["s"] * two["s"], F.lit(1.0)),
+            )
+            return F.array(*map(round6, values), same, 1 - same)
 
-    def row(c: Column, i: Column) -> Column:
-        one, two, after = at(i - 1), at(i - 2), at(i + 1)
-        dp, dq = c["p"] - one["p"], c["q"] - one["q"]
-        c1, s1 = _direction(dp, dq)
-        c2, s2 = _direction(one["p"] - two["p"], one["q"] - two["q"])
-        same = F.when(after["stroke_id"] == c["stroke_id"], 1.0).otherwise(0.0)
-        turn = (F.coalesce(s1 * c2 - c1 * s2, F.lit(0.0)), F.coalesce(c1 * c2 + s1 * s2, F.lit(1.0)))
-        step = (F.coalesce(dp, F.lit(0.0)), F.coalesce(dq, F.lit(0.0)), F.coalesce(s1, F.lit(0.0)), F.coalesce(c1, F.lit(1.0)))
-        return F.array(*map(round6, (*step, *turn)), same, 1 - same)
+        return F.transform(pts, row)
 
-    return F.transform(points, row)
+    return _let(points, lambda pts: _let(steps(pts), lambda dirs: rows(pts, dirs)))
