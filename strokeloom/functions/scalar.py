@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space as a browser's regular expressions and trim() know it.
 WIDE_SPACE = r"\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-BASE64_URL = rf"^data:([^\n\r]+?);base64,([A-Za-z0-9+/={WIDE_SPACE}]+)$"
+BASE64_TEXT = rf"^[A-Za-z0-9+/={WIDE_SPACE}]+$"
+BASE64_MARK = ";base64,"
 
 
 def blank_to_null(value: Column) -> Column:
@@ -38,7 +40,7 @@ def trim_wide(value: Column) -> Column:
     return F.regexp_replace(value, rf"^[{WIDE_SPACE}]+|[{WIDE_SPACE}]+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode composition (NFC), for which Spark has no built-in."""
     for s in batches:
@@ -119,16 +121,24 @@ def sample_id(ts: Column, seed: Column) -> Column:
     return F.concat_ws("_", stamp(ts), base36_suffix(seed))
 
 
+def _url_parts(url: Column) -> tuple[Column, Column, Column]:
+    """(well-formed, mime, payload). A payload holds no `;`, so it starts after the last mark."""
+    payload = F.substring_index(url, BASE64_MARK, -1)
+    mime = F.substr(url, F.lit(6), F.length(url) - F.length(payload) - len(BASE64_MARK) - 5)
+    well = F.startswith(url, F.lit("data:")) & F.contains(url, F.lit(BASE64_MARK)) & (F.length(mime) > 0) & ~mime.rlike(r"[\n\r\x{2028}\x{2029}]")
+    return well & payload.rlike(BASE64_TEXT), mime, payload
+
+
 def parse_data_url(url: Column) -> Column:
     """struct(mime, payload): null if url is null or malformed; see data_url_fault."""
-    payload = F.regexp_replace(F.regexp_extract(url, BASE64_URL, 2), rf"[{WIDE_SPACE}]", "")
-    return F.when(url.rlike(BASE64_URL), F.struct(F.regexp_extract(url, BASE64_URL, 1).alias("mime"), payload.alias("payload")))
+    well, mime, payload = _url_parts(url)
+    return F.when(well, F.struct(mime.alias("mime"), F.regexp_replace(payload, rf"[{WIDE_SPACE}]", "").alias("payload")))
 
 
 def data_url_fault(url: Column, prefix: str) -> Column:
     """400 if the text is there but is no data URL, or is of another media type; else null."""
-    mime = F.regexp_extract(url, BASE64_URL, 1)
-    return F.when(url.isNotNull() & ~(url.rlike(BASE64_URL) & F.startswith(mime, F.lit(prefix))), F.lit(400))
+    well, mime, _ = _url_parts(url)
+    return F.when(url.isNotNull() & ~(well & F.startswith(mime, F.lit(prefix))), F.lit(400))
 
 
 def decoded_length(payload: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strokeloom.functions import scalar as S
 from strokeloom.params import IngestRules
+from strokeloom.sources.tables import settled
 
 OVERRIDES = ("username", "label", "sample_id", "created_at", "repository", "uploaded_at")
 
@@ -49,7 +50,7 @@ def build_sample_files(requests: DataFrame, rules: IngestRules, now: Column) ->
     name = F.concat_ws("_", "label", "sample_id")
     image, video = F.col("image"), F.col("video")
     extension = S.choose_extension(r["video"]["extension"], video["mime"])
-    placed = named.withColumns({
+    placed = settled(named).withColumns({
         "image_path": F.when(image.isNotNull(), media_path(folder, name, "png")),
         "video_path": F.when(video.isNotNull(), media_path(folder, name, extension)),
         "json_path": media_path(folder, name, "json"),
@@ -80,8 +81,8 @@ def build_sample_files(requests: DataFrame, rules: IngestRules, now: Column) ->
         # A folder named . or .. would leave the tree.
         F.when(F.col("username").isin(".", "..") | F.col("label").isin(".", ".."), F.lit(400)),
     )
-    sized = merged.withColumn("total_bytes", total.cast("long")).withColumn("status", F.coalesce(fault, over_cap(F.col("total_bytes"), rules.max_bytes)))
-    return sized.withColumns({
+    sized = settled(merged).withColumn("total_bytes", total.cast("long")).withColumn("status", F.coalesce(fault, over_cap(F.col("total_bytes"), rules.max_bytes)))
+    return settled(sized).withColumns({
         "files": F.when(F.col("status").isNull(), F.filter(files, lambda x: x.isNotNull())),
         "message": F.format_string(rules.message, "username", "label", "sample_id"),
     })

@@ -13,7 +13,8 @@ from strokeloom.shared import new_folder
 from strokeloom.sources import tables
 from strokeloom.sources.sink import SampleStore
 
-RULES = IngestRules(max_bytes=3000)
+RULES = IngestRules()
+CAP = 3000
 NOW = "2026-01-02 03:04:05.678"
 MIMES = ("image/png", "video/webm;codecs=vp9", "text/plain", "image/jpeg")
 
@@ -45,8 +46,9 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataurl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = S.parse_data_url(F.col("url"))
-    return _urls(spark, sf_dir).select(
+    rows = tables.settled(_urls(spark, sf_dir).withColumn("parsed", S.parse_data_url(F.col("url"))))
+    parsed = F.col("parsed")
+    return rows.select(
         "doc_id", parsed["mime"].alias("mime"), F.length(parsed["payload"]).cast("long").alias("payload_chars"),
         S.decoded_length(parsed["payload"]).cast("long").alias("n_bytes"),
         S.data_url_fault(F.col("url"), "image/").alias("image_fault"), S.data_url_fault(F.col("url"), "video/").alias("video_fault"),
@@ -77,11 +79,13 @@ def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = tables.parse_requests(_requests(spark, sf_dir))
     bad = parsed.where("body_status is not null").select("doc_id", F.col("body_status").alias("status"))
     said = lambda k: F.get_json_object("metadata", f"$.{k}")
-    good = ingest.build_sample_files(parsed.where("body_status is null"), RULES, F.lit(NOW).cast("timestamp")).select(
-        "doc_id", "status", "username", "label", "image_path", "video_path", "json_path", "message",
-        said("username").alias("meta_username"), said("extra").cast("long").alias("meta_extra"), said("created_at").alias("meta_created_at"),
-        said("repository.paths.json").alias("meta_path"), F.size("files").cast("long").alias("n_files"),
-    )
+    built = ingest.build_sample_files(parsed.where("body_status is null"), RULES, F.lit(NOW).cast("timestamp"))
+    outcome = {
+        **{c: F.col(c) for c in ("username", "label", "image_path", "video_path", "json_path", "message")},
+        "meta_username": said("username"), "meta_extra": said("extra").cast("long"), "meta_created_at": said("created_at"),
+        "meta_path": said("repository.paths.json"), "n_files": F.size("files").cast("long"),
+    }
+    good = built.select("doc_id", "status", *(F.when(F.col("status").isNull(), c).alias(k) for k, c in outcome.items()))
     return good.unionByName(bad, allowMissingColumns=True)
 
 
@@ -96,7 +100,7 @@ def byte_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.octet_length("text").cast("long")
     rows = tables.table(spark, sf_dir, "documents").select("doc_id", total.alias("total_bytes"))
-    cap = ingest.over_cap(F.col("total_bytes"), RULES.max_bytes)
+    cap = ingest.over_cap(F.col("total_bytes"), CAP)
     return rows.select("doc_id", "total_bytes", cap.alias("status"), S.megabytes(F.col("total_bytes") * 1000).alias("megabytes"))
 
 
@@ -223,7 +227,14 @@ ORACLE_SQL = {
         CASE WHEN well AND bytes > 0 THEN ((bytes + 2) // 3 * 4)::BIGINT END AS payload_chars, CASE WHEN well AND bytes > 0 THEN bytes::BIGINT END AS n_bytes,
         CASE WHEN NOT (well AND bytes > 0 AND starts_with(mime, 'image/')) THEN 400 END AS image_fault,
         CASE WHEN NOT (well AND bytes > 0 AND starts_with(mime, 'video/')) THEN 400 END AS video_fault FROM urls""",
-    "size_cap": f"""SELECT doc_id, strlen(text)::BIGINT AS total_bytes, CASE WHEN strlen(text) > {RULES.max_bytes} THEN 413 END AS status,
+    "ingest_requests": f"""WITH {_URLS_SQL}, {_INGEST_SQL}, ok AS (SELECT * FROM judged WHERE fault IS NULL)
+        SELECT doc_id, NULL::INTEGER AS status, username, label, CASE WHEN doc_id % 2 = 0 THEN base || '.png' END AS image_path,
+          CASE WHEN doc_id % 2 = 1 THEN base || '.webm' END AS video_path, base || '.json' AS json_path, 'Add sample ' || username || '/' || label || '/' || doc_id AS message,
+          username AS meta_username, doc_id AS meta_extra, '2026-01-01T00:00:00.000Z' AS meta_created_at, base || '.json' AS meta_path, 2::BIGINT AS n_files FROM ok
+        UNION ALL SELECT doc_id, coalesce(fault, 400), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM urls LEFT JOIN judged USING (doc_id)
+        WHERE doc_id % 31 = 0 OR fault IS NOT NULL""",
+    "byte_sums": f"WITH {_URLS_SQL}, {_INGEST_SQL} SELECT doc_id, bytes::BIGINT AS media_bytes FROM judged WHERE fault IS NULL",
+    "size_cap": f"""SELECT doc_id, strlen(text)::BIGINT AS total_bytes, CASE WHEN strlen(text) > {CAP} THEN 413 END AS status,
         floor(strlen(text)::BIGINT * 1000 / (1024 * 1024) + 0.5)::BIGINT AS megabytes FROM documents""",
     "status_pass_through": "WITH s AS (SELECT o_orderkey, (o_orderkey % 400 + 200)::INTEGER AS s FROM orders) SELECT o_orderkey, CASE WHEN s < 500 THEN s ELSE 500 END AS status, s IN (409, 422) AS retried FROM s",
     "iso_stamp": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events",

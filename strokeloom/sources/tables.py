@@ -27,13 +27,19 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return parse_requests(spark.read.text(path).withColumnRenamed("value", "body"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df behind a one-row generator, below which no filter is pushed: columns that many others are
+    made of are computed once, and not once for each use in a predicate."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def parse_requests(bodies: DataFrame, max_body: int | None = None) -> DataFrame:
     """bodies: (body, ...). Adds `request` and `body_status`: 413 over max_body bytes, 400 if the
     body is no JSON object, else null. An empty body is an empty object."""
     text = F.coalesce(S.blank_to_null(F.col("body")), F.lit("{}"))
     schema = f"{schemas.REQUEST}, _corrupt string"
     parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = bodies.withColumn("request", parsed)
+    rows = settled(bodies.withColumn("request", parsed))
     too_long = F.octet_length("body") > F.lit(max_body) if max_body is not None else F.lit(False)
     status = F.when(too_long, F.lit(413)).when(F.col("request").isNull() | F.col("request._corrupt").isNotNull(), F.lit(400))
     return rows.withColumn("body_status", status).withColumn("request", F.col("request").dropFields("_corrupt"))
