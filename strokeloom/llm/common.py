@@ -2,47 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strokeloom.shared import new_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_CLASS = r"\x20\x09-\x0D"
 ASCII_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session may go without the setting; it then gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='strokeloom-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    context._jvm.org.apache.hadoop.fs.Path(own).getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(context._jvm.org.apache.hadoop.fs.Path(own))
-    return own
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
     The result has no lineage beyond its files, so a lost executor costs no recomputation. The
     folder goes when the driver's JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strokeloom/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    context = spark.sparkContext
-    at = context._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside moves at most `rows` rows at a time to Python; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def ascii_lower(text: Column) -> Column:
