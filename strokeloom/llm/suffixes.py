@@ -37,10 +37,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import documents, materialize
+from strokeloom.llm.common import arrow_batches, documents, materialize
 
 THRESHOLD = 100
 GRAM = 32  # a power of two
+TEXTS = 1024  # texts that move to Python at once
 SEGMENT = 1 << 22  # window starts of a long text handled at once
 LAST = (1 << 63) - 1
 _BYTES = np.random.default_rng(20240601).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -84,8 +85,8 @@ def find_runs(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                yield from runs(batch.slice(at, 2048))
+            for at in range(0, batch.num_rows, TEXTS):
+                yield from runs(batch.slice(at, TEXTS))
 
     def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         digest, parts, rows, contexts = xxhash.xxh3_64_intdigest, [], [], []
@@ -152,7 +153,8 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     repeats = F.col("dup") | (F.col("least") != place)
     marked = runs.withColumn("gone", repeats).where(F.col("gone") | F.col("several"))
     marked = marked.select("doc_id", "h1", "st", "n", F.when(~F.col("gone"), F.col("k")).alias("k"), F.when(~F.col("gone"), F.col("o")).alias("o"), "gone")
-    marks = materialize(marked, "runs")
+    with arrow_batches(docs.sparkSession, TEXTS):
+        marks = materialize(marked, "runs")
 
     doubt = marks.where(~F.col("gone")).distinct().groupBy("doc_id", "h1").agg(F.collect_list(F.struct("k", "st", "n", "o")).alias("runs"))
 
@@ -228,6 +230,8 @@ def dedup_substrings(docs: DataFrame, threshold: int = THRESHOLD, keep_bytes: bo
 
     judged = _join_texts(docs, spans, "left").select("doc_id", "h1", "z", "spans")
     judged = judged.mapInArrow(apply, f"{KEPT}, spans array<struct<st:int,en:int>>, kept binary")
+    with arrow_batches(docs.sparkSession, TEXTS):
+        judged = materialize(judged, "judged")
     counted = judged.groupBy(*judged.columns).agg(F.count(F.lit(1)).alias("copies"))
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     all_gone = (F.col("copy") > 1) & (F.col("n_bytes") >= threshold)
