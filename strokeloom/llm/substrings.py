@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strokeloom.llm.common import documents, materialize
@@ -91,6 +91,32 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     )
 
 
+def remove_repeats(docs: DataFrame, text: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the repeated units cut out of their texts and `removed`: the spans in the original."""
+    named = docs.select("doc_id", F.col(text).alias("text"))
+    gone = repeated_units(named, unit, min_words, min_chars).groupBy("doc_id", "h1", "h2", "copy").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    gone = gone.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("copy").alias("_copy"), "removed")
+    keys = {"_id": F.coalesce("doc_id", F.lit(LAST)), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)}
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(k) for k, c in keys.items()))
+    copy = F.row_number().over(Window.partitionBy("_id", "_h1", "_h2").orderBy(F.lit(1))).cast("long")
+    joined = rows.withColumn("_copy", copy).join(gone, ["_id", "_h1", "_h2", "_copy"], "left").select("_row.*", "removed")
+    place = joined.schema.names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for whole, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if spans:
+                    ends = [0, *(x for s in spans for x in (s["start"], s["end"])), len(whole)]
+                    whole = "".join(whole[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+                kept.append(whole)
+            columns = [*batch.columns]
+            columns[place] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return joined.mapInArrow(run, joined.schema)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_units(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "copy", "unit", "start", "end", "n_words", "first_doc_id", "first_start")

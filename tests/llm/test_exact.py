@@ -220,3 +220,11 @@ def test_repeated_units(docs_of, awkward):
     got = rows_of(substrings.repeated_units(docs_of(rows, True)).where("doc_id >= 40 or doc_id is null"), "doc_id", "start", "first_doc_id")
     assert [r for r in got if r[2] == 40] == [(41, 8, 40), (42, 0, 40), (42, len(line) + 2, 40), (None, 0, 40)]
     assert substrings.repeated_units(docs_of([])).count() == 0
+
+
+def test_remove_repeats(docs_of, awkward):
+    line = "This sentence has quite enough words to be looked at closely."
+    rows = [(1, f"a. {line} Then."), (2, f"b. {line} Last."), (2, f"b. {line} Last."), (3, None), (None, line)]
+    out = substrings.remove_repeats(docs_of(rows))
+    assert rows_of(out, "doc_id", "text") == sorted([(1, f"a. {line} Then."), (2, "b.  Last."), (2, "b.  Last."), (3, None), (None, "")], key=str)
+    assert substrings.remove_repeats(docs_of(awkward, True)).count() == len(awkward)
