@@ -103,6 +103,21 @@ def response(built: DataFrame) -> DataFrame:
     return built.select("sample_id", ok.alias("ok"), "status", "message", F.transform("files", lambda f: f["path"]).alias("paths"))
 
 
+def file_hashes(files: Column) -> Column:
+    """Each file's path with its content's hash, in place."""
+    return F.transform(files, lambda f: F.struct(f["path"].alias("path"), F.sha1(f["content"]).alias("sha")))
+
+
+def stale(versions: DataFrame, current: str, column: str = "version") -> DataFrame:
+    """Versions to delete: all but the current one."""
+    return versions.where(~F.col(column).eqNullSafe(F.lit(current)))
+
+
+def repo_ok(repo: Column) -> Column:
+    """owner/name, neither empty, without white space."""
+    return F.coalesce(repo.rlike(r"^[^/\s]+/[^/\s]+$"), F.lit(False))
+
+
 def upsert(base: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
     """new over base: rows of base whose key new has are replaced."""
     return base.join(new.select(key), key, "left_anti").unionByName(new)

@@ -12,6 +12,7 @@ from strokeloom.params import CODECS, LABELS, IngestRules
 from strokeloom.shared import new_folder
 from strokeloom.sources import tables
 from strokeloom.sources.sink import SampleStore
+from strokeloom.streaming.sessions import slices
 
 RULES = IngestRules()
 CAP = 3000
@@ -189,6 +190,40 @@ def chunk_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_chunks(chunks, ["doc_id"]).select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("md5"))
 
 
+def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text and its number as the two files of a sample."""
+    files = F.array(
+        F.struct(F.lit("a.txt").alias("path"), F.col("text").cast("binary").alias("content")),
+        F.struct(F.lit("a.json").alias("path"), F.col("doc_id").cast("string").cast("binary").alias("content")),
+    )
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id", F.inline(ingest.file_hashes(files)))
+    return rows
+
+
+def tumbling_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("data"))
+    return slices(rows, "1 day").select("session_id", F.unix_micros("slice.start").alias("from_us"), "chunks", "bytes")
+
+
+def settings_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", _sometimes(F.col("role")).alias("username"), F.when(F.col("turn") % 2 == 0, F.lit(LABELS[2])).alias("label"),
+        F.when(F.col("turn") % 3 == 0, F.lit("k")).alias("upload_key"),
+    )
+    return tables.settings(rows.withColumn("username", S.trim_wide(F.col("username"))))
+
+
+def repo_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.when(F.col("p_partkey") % 5 == 0, F.lit("")).otherwise(F.lit("own")), F.lit("/"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.col("p_brand")))
+    return tables.table(spark, sf_dir, "part").select("p_partkey", ingest.repo_ok(name).alias("ok"))
+
+
+def response_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What senders are told of the requests that are JSON."""
+    told = ingest.response(_built(spark, sf_dir))
+    return told.select(F.col("sample_id").cast("long").alias("doc_id"), "ok", "status", F.array_join("paths", " ").alias("paths"))
+
+
 def sample_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: documents by source and language, with subtotals."""
     rows = tables.table(spark, sf_dir, "documents").rollup("source", "lang")
@@ -212,6 +247,7 @@ QUERIES = {
     for f in (
         key_sanitise, sample_paths, dataurl_parse, ingest_requests, byte_sums, size_cap, status_pass_through, iso_stamp, sample_id_stamp, label_domain,
         label_semi_join, falsy_defaults, metadata_merge, upsert_by_path, store_round_trip, codec_preference, chunk_concat, sample_statistics,
+        file_hashes, tumbling_slices, settings_defaults, repo_shape, response_projection,
     )
 }
 
@@ -248,5 +284,12 @@ ORACLE_SQL = {
     "store_round_trip": f"""SELECT {_key_sql("c_mktsegment")} AS username, 'n' || c_nationkey AS label, 'p' || c_custkey AS path, CASE WHEN c_custkey % 10 = 0 THEN 'again' ELSE c_name END AS content FROM customer""",
     "codec_preference": f"SELECT n_nationkey, CASE {_CODEC_SQL} ELSE '' END AS codec FROM nation",
     "chunk_concat": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes, md5(text) AS md5 FROM documents",
+    "file_hashes": "SELECT doc_id, 'a.txt' AS path, sha1(text) AS sha FROM documents UNION ALL SELECT doc_id, 'a.json', sha1(doc_id::VARCHAR) FROM documents",
+    "tumbling_slices": "SELECT user_id AS session_id, epoch_us(date_trunc('day', ts)) AS from_us, count(*) AS chunks, sum(strlen(props))::BIGINT AS bytes FROM events GROUP BY ALL",
+    "settings_defaults": f"""SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN role ELSE 'user1' END AS username, CASE WHEN turn % 2 = 0 THEN '{LABELS[2]}' ELSE '{LABELS[0]}' END AS label,
+        CASE WHEN turn % 3 = 0 THEN 'k' ELSE '' END AS upload_key FROM conversations""",
+    "repo_shape": "SELECT p_partkey, regexp_full_match(CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'own' END || '/' || CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand END, '[^/\\s]+/[^/\\s]+') AS ok FROM part",
+    "response_projection": f"""WITH {_URLS_SQL}, {_INGEST_SQL} SELECT doc_id, fault IS NULL AS ok, fault AS status,
+        CASE WHEN fault IS NULL THEN base || CASE WHEN doc_id % 2 = 0 THEN '.png ' ELSE '.webm ' END || base || '.json' END AS paths FROM judged""",
     "sample_statistics": "SELECT source, lang, count(*) AS samples, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source, lang)",
 }

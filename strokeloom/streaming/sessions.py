@@ -35,6 +35,11 @@ def closed_samples(rows: DataFrame, rules: CaptureRules) -> DataFrame:
     return rows.groupBy("session_id").applyInPandasWithState(run, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def media_slices(chunks: DataFrame, width: str = "250 milliseconds") -> DataFrame:
-    """Bytes of each session in tumbling slices; late chunks are waited for by one slice."""
-    return chunks.withWatermark("ts", width).groupBy("session_id", F.window("ts", width)).agg(F.sum(F.length("data")).alias("bytes"))
+def slices(chunks: DataFrame, width: str) -> DataFrame:
+    """Chunks (session_id, ts, data) and their bytes in tumbling slices; partial sums before the shuffle."""
+    return chunks.groupBy("session_id", F.window("ts", width).alias("slice")).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("data")).alias("bytes"))
+
+
+def media_slices(chunks: DataFrame, width: str = "250 milliseconds", late: str | None = None) -> DataFrame:
+    """slices of a stream; late chunks are waited for by one slice, or as long as `late` says."""
+    return slices(chunks.withWatermark("ts", late or width), width)
