@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strokeloom.params import CaptureRules
@@ -43,7 +43,54 @@ class Capture:
 
 
 STATE = "sample long, started boolean, start_us long, last_us long, points long, strokes long, was_down boolean, ink boolean, blocked boolean, clear_until long, busy_until long, outcome string"
-CLOSED = "session_id long, sample long, start_us long, last_us long, close_us long, num_points long, num_strokes long, reason string"
+CLOSED = "session_id {session}, sample long, start_us long, last_us long, close_us long, num_points long, num_strokes long, reason string"
+
+
+PROGRESS = "session_id {session}, us long, seq long, sample long, num_points long, progress double, reason string"
+
+
+def schema_for(pattern: str, rows: DataFrame) -> str:
+    """The schema with the type that rows have for a session's id."""
+    return pattern.format(session=dict(rows.dtypes)["session_id"])
+
+
+def _folded(rows: DataFrame, pattern: str, visit, finish) -> DataFrame:
+    """Rows dealt by session, sorted by the engine, and passed by one state at a time in batches.
+
+    visit(session, state, us, seq, action, outcome) and finish(session, state) give a row or None.
+    Memory doesn't grow with a session, however long.
+    """
+    ordered = rows.select("session_id", "us", "seq", "action", "outcome").repartition("session_id").sortWithinPartitions("session_id", "us", "seq")
+    schema = schema_for(pattern, rows)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, state, begun = None, Capture(), False
+        kind = None
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(x, kind if k == 0 else TYPES[t]) for k, (x, t) in enumerate(zip(zip(*out, strict=True), types, strict=True))]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        types = [c.split()[1] for c in schema.split(", ")]
+        for batch in batches:
+            kind, out = batch.column(0).type, []
+            for key, us, seq, action, outcome in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != session or not begun:
+                    if begun and (row := finish(session, state)):
+                        out.append(row)
+                    session, state, begun = key, Capture(), True
+                if row := visit(key, state, us, seq, action, outcome):
+                    out.append(row)
+            if out:
+                yield packed(out)
+        if begun and (row := finish(session, state)):
+            yield packed([row])
+
+    return ordered.mapInArrow(run, schema)
+
+
+TYPES = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
 def summary(session, state: Capture, close_us: int | None, reason: str) -> tuple:
@@ -100,56 +147,28 @@ def step(session, state: Capture, us: int, action: str, rules: CaptureRules, out
 
 
 def fold(rows: DataFrame, rules: CaptureRules, keep_open: bool = True) -> DataFrame:
-    """rows: (session_id, us, seq, action, outcome). Closed samples, and open ones with reason `open`.
+    """rows: (session_id, us, seq, action, outcome). Closed samples, and open ones with reason `open`."""
 
-    Rows are dealt by session and sorted by the engine, and pass a single state in batches: memory
-    doesn't grow with a session, however long.
-    """
-    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "us", "seq")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, state = None, Capture()
-        names = [c.split()[0] for c in CLOSED.split(", ")]
-        for batch in batches:
-            out = []
-            columns = (batch[c].tolist() for c in ("session_id", "us", "action", "outcome"))
-            for key, us, action, outcome in zip(*columns, strict=True):
-                if key != session:
-                    if keep_open and state.started:
-                        out.append(summary(session, state, None, "open"))
-                    session, state = key, Capture()
-                if closed := step(key, state, us, action, rules, outcome):
-                    out.append(closed)
-            yield pd.DataFrame(out, columns=names).astype({"close_us": "Int64"})
-        if keep_open and state.started:
-            yield pd.DataFrame([summary(session, state, None, "open")], columns=names).astype({"close_us": "Int64"})
+    def visit(session, state: Capture, us: int, seq: int, action: str, outcome: str) -> tuple | None:
+        return step(session, state, us, action, rules, outcome)
 
-    return ordered.mapInPandas(run, CLOSED)
+    def finish(session, state: Capture) -> tuple | None:
+        return summary(session, state, None, "open") if keep_open and state.started else None
 
-
-PROGRESS = "session_id long, us long, event_id long, sample long, num_points long, progress double, reason string"
+    return _folded(rows, CLOSED, visit, finish)
 
 
 def follow(rows: DataFrame, rules: CaptureRules) -> DataFrame:
     """Every frame with its sample, the points so far and the pause's progress in [0, 1]."""
-    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "us", "seq")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, state = None, Capture()
-        for batch in batches:
-            out = []
-            for key, us, seq, action, outcome in zip(*(batch[c].tolist() for c in ("session_id", "us", "seq", "action", "outcome")), strict=True):
-                if key != session:
-                    session, state = key, Capture()
-                closed = step(key, state, us, action, rules, outcome)
-                if closed:
-                    points, last, sample = closed[5], closed[3], closed[1]
-                    able = True
-                else:
-                    points, last, sample = state.points, state.last_us, state.sample
-                    able = state.started and points >= rules.min_points and not state.blocked
-                progress = min((us - last) / rules.pause_us, 1.0) if able and action != "Draw" else 0.0
-                out.append((key, us, seq, sample, points, progress, closed[7] if closed else ""))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PROGRESS.split(", ")])
-
-    return ordered.mapInPandas(run, PROGRESS)
+    def visit(session, state: Capture, us: int, seq: int, action: str, outcome: str) -> tuple:
+        closed = step(session, state, us, action, rules, outcome)
+        if closed:
+            sample, last, points, able = closed[1], closed[3], closed[5], True
+        else:
+            sample, last, points = state.sample, state.last_us, state.points
+            able = state.started and points >= rules.min_points and not state.blocked
+        progress = min((us - last) / rules.pause_us, 1.0) if able and action != "Draw" else 0.0
+        return session, us, seq, sample, points, progress, closed[7] if closed else ""
+
+    return _folded(rows, PROGRESS, visit, lambda session, state: None)

@@ -37,7 +37,7 @@ def saved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pause_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sessions.follow(_rows(tables.event_frames(spark, sf_dir)), RULES)
-    return found.select("session_id", "event_id", "sample", "num_points", "progress", "reason")
+    return found.select("session_id", F.col("seq").alias("event_id"), "sample", "num_points", "progress", "reason")
 
 
 def clear_cooldown_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, marks = new_folder(spark, "stream"), new_folder(spark, "stream-marks")
     query = closed_samples(rows, RULES).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(sessions.CLOSED).parquet(out)
+    return spark.read.schema(sessions.CLOSED.format(session="long")).parquet(out)
 
 
 _N = RULES.min_points

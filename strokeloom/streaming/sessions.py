@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strokeloom.operators.sessions import CLOSED, STATE, Capture, step
+from strokeloom.operators.sessions import CLOSED, STATE, Capture, schema_for, step
 from strokeloom.params import CaptureRules
 
 
@@ -20,7 +20,8 @@ def closed_samples(rows: DataFrame, rules: CaptureRules) -> DataFrame:
     Rows of one micro-batch are sorted by (us, seq). Nothing closes on a timer: a pause ends at an
     observed frame.
     """
-    names = [c.split()[0] for c in CLOSED.split(", ")]
+    schema = schema_for(CLOSED, rows)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = Capture(*held.get) if held.exists else Capture()
@@ -32,7 +33,7 @@ def closed_samples(rows: DataFrame, rules: CaptureRules) -> DataFrame:
         held.update(astuple(state))
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("session_id").applyInPandasWithState(run, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session_id").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def slices(chunks: DataFrame, width: str) -> DataFrame:

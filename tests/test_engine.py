@@ -113,7 +113,7 @@ def test_stream_equals_batch(spark, tmp_path, cuts):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     query = closed_samples(stream, rules).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start()
     query.awaitTermination()
-    got = sorted(map(tuple, spark.read.schema(sessions.CLOSED).parquet(f"{tmp_path}/out").collect()))
+    got = sorted(map(tuple, spark.read.schema(sessions.CLOSED.format(session="long")).parquet(f"{tmp_path}/out").collect()))
     assert batch and got == batch and all(r[5] >= 10 for r in got)
 
 
@@ -143,3 +143,13 @@ def test_metadata_document(spark):
     full = full.withColumn("media", F.struct(F.lit("s.png").alias("image"), F.lit(None).cast("string").alias("video"), F.lit(None).cast("string").alias("video_mime")))
     m = metadata_document(full, IngestRules(), CaptureRules()).first().metadata
     assert m.username == "user1" and m.label == "অ" and m.trajectory.num_points == 2 and m.trajectory.features_8d[1][0] == 0.2 and m.frame_size == [640, 480]
+
+
+def test_sessions_of_any_key(spark):
+    rows = [(s, k * 100_000, k, "Draw", "") for s in ("a", "b", None) for k in range(12)] + [("b", 10_000_000, 99, "Pen up", "")]
+    df = spark.createDataFrame(rows, "session_id string, us long, seq long, action string, outcome string")
+    got = {r.session_id: (r.num_points, r.reason) for r in sessions.fold(df, CaptureRules()).collect()}
+    assert got == {"a": (12, "open"), "b": (12, "pause"), None: (12, "open")}
+    big = (1 << 60) + 1
+    ids = spark.createDataFrame([(big, 0, 0, "Draw", ""), (None, 0, 0, "Draw", "")], "session_id long, us long, seq long, action string, outcome string")
+    assert {r.session_id for r in sessions.follow(ids, CaptureRules()).collect()} == {big, None}
