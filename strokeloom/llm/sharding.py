@@ -15,7 +15,7 @@ any name but those with a leading `_s`.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,14 +59,14 @@ def shard_documents(
     placed = scattered.join(places, F.col("_sbucket") == F.col("_sb")).drop("_sb")
     schema = placed.select(*columns, F.lit(0).cast("long").alias("_splace")).schema
 
-    def shuffled(key: tuple, bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values(["_skey", "_scopy"], kind="stable", ignore_index=True)
-        order = fisher_yates(len(bucket), (seed << 20) + int(key[0]))
-        bucket = bucket.iloc[order].reset_index(drop=True)
-        bucket["_splace"] = bucket["_sfirst"] + np.arange(len(bucket))
-        return bucket[[*columns, "_splace"]]
+    def shuffled(key: tuple, bucket: pa.Table) -> pa.Table:
+        # Arrow, not pandas: there, whole numbers beside nulls would turn into floats.
+        order = np.lexsort((bucket["_scopy"].to_numpy(), bucket["_skey"].to_numpy()))
+        order = order[fisher_yates(len(order), (seed << 20) + key[0].as_py())]
+        place = bucket["_sfirst"][0].as_py() + np.arange(len(order))
+        return bucket.select(columns).take(pa.array(order)).append_column("_splace", pa.array(place))
 
-    out = placed.groupBy("_sbucket").applyInPandas(shuffled, schema)
+    out = placed.groupBy("_sbucket").applyInArrow(shuffled, schema)
     n = max(rows, 1)
     shard = F.expr(f"(_splace * {n_shards}L) div {n}L")
     first = F.expr(f"(_sshard * {n}L + {n_shards - 1}L) div {n_shards}L")  # the shard's first place

@@ -174,6 +174,8 @@ def test_sharding_edges(docs_of):
     digest = sharding.text_digest(docs_of([(1, None), (2, "")]))
     assert {(r.doc_id, r.size, r.text_crc32) for r in digest.collect()} == {(1, 1, 0), (2, 1, 0)}
     assert sharding.shard_documents(digest).count() == 2
+    big = (1 << 60) + 1
+    assert {r.doc_id for r in sharding.shard_documents(sharding.text_digest(docs_of([(big, "a"), (None, "b")]))).collect()} == {big, None}
     assert sharding.shard_documents(digest.limit(0)).count() == 0
 
 
