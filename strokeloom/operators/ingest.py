@@ -75,8 +75,8 @@ def build_sample_files(requests: DataFrame, rules: IngestRules, now: Column) ->
     total = F.coalesce(S.decoded_length(image["payload"]), F.lit(0)) + F.coalesce(S.decoded_length(video["payload"]), F.lit(0)) + F.octet_length("metadata")
     fault = F.coalesce(
         F.when(F.lit(bool(rules.upload_key)) & ~F.coalesce(r["uploadKey"] == rules.upload_key, F.lit(False)), F.lit(401)),
-        S.data_url_fault(r["image"]["dataUrl"], "image/"),
-        S.data_url_fault(r["video"]["dataUrl"], "video/"),
+        S.data_url_fault(r["image"]["dataUrl"], "image/", image),
+        S.data_url_fault(r["video"]["dataUrl"], "video/", video),
         F.when(image.isNull() & video.isNull(), F.lit(400)),
         # A folder named . or .. would leave the tree.
         F.when(F.col("username").isin(".", "..") | F.col("label").isin(".", ".."), F.lit(400)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from strokeloom.functions.scalar import round6
+from strokeloom.functions.scalar import let, round6
 from strokeloom.params import FEATURES
 
 EPSILON = 1e-9
@@ -65,11 +65,6 @@ def ink_segments(frames: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return points.withColumns({"from_p": F.lag("p").over(w), "from_q": F.lag("q").over(w)})
 
 
-def _let(value: Column, body) -> Column:
-    """body of value, with value computed once: a lambda's variable is bound, an expression repeated."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def feature_array(points: Column) -> Column:
     """array<struct<p,q,stroke_id>> of a whole sample to array<array<double>>, in the row."""
 
@@ -80,7 +75,7 @@ def feature_array(points: Column) -> Column:
     def steps(pts: Column) -> Column:
         back = lambda i: F.get(pts, i - 1)
         move = lambda c, i: F.struct((c["p"] - back(i)["p"]).alias("dp"), (c["q"] - back(i)["q"]).alias("dq"))
-        return F.transform(pts, lambda c, i: _let(move(c, i), directed))
+        return F.transform(pts, lambda c, i: let(move(c, i), directed))
 
     def rows(pts: Column, dirs: Column) -> Column:
         def row(c: Column, i: Column) -> Column:
@@ -94,4 +89,4 @@ def feature_array(points: Column) -> Column:
 
         return F.transform(pts, row)
 
-    return _let(points, lambda pts: _let(steps(pts), lambda dirs: rows(pts, dirs)))
+    return let(points, lambda pts: let(steps(pts), lambda dirs: rows(pts, dirs)))

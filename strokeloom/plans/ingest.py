@@ -52,7 +52,7 @@ def dataurl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", parsed["mime"].alias("mime"), F.length(parsed["payload"]).cast("long").alias("payload_chars"),
         S.decoded_length(parsed["payload"]).cast("long").alias("n_bytes"),
-        S.data_url_fault(F.col("url"), "image/").alias("image_fault"), S.data_url_fault(F.col("url"), "video/").alias("video_fault"),
+        S.data_url_fault(F.col("url"), "image/", parsed).alias("image_fault"), S.data_url_fault(F.col("url"), "video/", parsed).alias("video_fault"),
     )
 
 
