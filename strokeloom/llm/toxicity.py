@@ -30,13 +30,13 @@ from pyspark.sql import types as T
 
 from strokeloom.llm.common import documents
 
-MAX_TRAIN = 12_000
+MAX_TRAIN = 6_000
 MAX_TRAIN_BYTES = 32_768
 BUCKETS = 1 << 16
 DIM = 12
 FILTERS = 8  # of each width
 WIDTHS = (1, 2, 3)
-EPOCHS = 5
+EPOCHS = 3
 BATCH = 32
 RATE = 0.05
 SEED = 11
@@ -96,11 +96,19 @@ def _convolved(shares: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_odds(texts: list[list[str]], labels: np.ndarray) -> np.ndarray:
+class _Rows(dict):
+    """rows_of, computed once per word of the sample."""
+
+    def __missing__(self, word: str) -> list[int]:
+        self[word] = found = rows_of(word)
+        return found
+
+
+def _log_odds(texts: list[list[str]], labels: np.ndarray, known: _Rows) -> np.ndarray:
     """Each hashed row's smoothed log odds of toxic texts against others, by texts that hold it."""
     counts = np.zeros((2, BUCKETS))
     for words, label in zip(texts, labels, strict=True):
-        counts[label, np.unique([x for w in set(words) for x in rows_of(w)]).astype(np.int64)] += 1
+        counts[label, np.fromiter({x for w in set(words) for x in known[w]}, np.int64)] += 1
     share = (counts + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1.0)
     odds = np.log(share[1] / share[0])
     return np.clip(odds * np.minimum(1.0, counts.sum(axis=0) / 6), -3, 3)
@@ -121,7 +129,8 @@ def fit(texts: list[str | None], labels: list[int], langs: list[str | None]) ->
         model.constant = 0.0
         return model
     tokens = [words_of(t) for t in texts]
-    model.table[:, 0] = _log_odds([tokens[k] for k in train], y[train])
+    known = _Rows()
+    model.table[:, 0] = _log_odds([tokens[k] for k in train], y[train], known)
     model.filters[0, :] = 0
     model.filters[1:, 0] = 0
     model.filters[0, 0], model.filters[1:, 1] = 1.0, model.filters[1:, 1]
@@ -134,16 +143,16 @@ def fit(texts: list[str | None], labels: list[int], langs: list[str | None]) ->
         rng.shuffle(train)
         for at in range(0, len(train), BATCH):
             picked = train[at : at + BATCH]
-            slow_offset = _step(model, slow, slow_offset, [tokens[k] for k in picked], y[picked])
+            slow_offset = _step(model, slow, slow_offset, [tokens[k] for k in picked], y[picked], known)
     _calibrate(model, [tokens[k] for k in kept], y[kept], [langs[k] for k in kept])
     return model
 
 
-def _step(model: Model, slow: dict, slow_offset: float, texts: list[list[str]], y: np.ndarray) -> float:
+def _step(model: Model, slow: dict, slow_offset: float, texts: list[list[str]], y: np.ndarray, known: _Rows) -> float:
     """One Adagrad step; only each filter's best window of each text has a gradient."""
     f = FILTERS
     names = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-    rows = [rows_of(w) for w in names]
+    rows = [known[w] for w in names]
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     flat = np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum()))
     mean = np.zeros((len(rows) + 1, DIM), np.float32)
