@@ -57,4 +57,11 @@ def count_words(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table, in at least as many partitions as there are cores.
+
+    Large tables have more and are not moved. A small file with one row group would otherwise be a
+    single task; asking a plain scan for its partitions runs nothing.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
