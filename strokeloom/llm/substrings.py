@@ -80,6 +80,8 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     units = materialize(find_units(docs, unit, min_words, min_chars), "units")
     rank = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "h1", "h2", "start", "doc_id")
     repeats = units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
+    # Written, so that both sides of the join are plain shuffles, whose hot partitions AQE can split.
+    repeats = materialize(repeats, "repeats")
     hits = units.join(repeats, ["d1", "d2"])
     # Rows alike in id and text have the same units: copy 1 keeps first occurrences, others nothing.
     same = hits.groupBy("doc_id", "h1", "h2", "unit", "start", "end", "n_words", "first").agg(F.count(F.lit(1)).alias("copies"))
