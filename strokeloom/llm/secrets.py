@@ -110,7 +110,8 @@ def scan_secrets(
     ownership = by_owner.groupBy("_hash").agg(
         F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")
     )
-    joined = each.join(ownership, "_hash")
+    # Written, so that both sides of the join are plain shuffles, whose hot partitions AQE can split.
+    joined = each.join(materialize(ownership, "ownership"), "_hash")
     live = F.col("owners") <= max_owners
     added = F.struct(
         F.col("s.value_start").alias("start"),
