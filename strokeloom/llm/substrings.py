@@ -1,16 +1,19 @@
 """Substring dedup by unit hashing.
 
-Texts are cut into lines, and lines at sentence ends (`sentence`, the default: a passage inside a
-line is found as well), or into whole lines or paragraphs. A unit is normalised (lower case, white
-space collapsed) and hashed to 128 bits; units of fewer words or letters than a bound stay. Digests
-are grouped over the corpus; the occurrence of least (doc_id, start) is kept, all others are
-removed. Offsets are those of the original text, in code points.
+Texts are cut into units of one kind: lines at sentence ends (`sentence`, the default), whole lines,
+or paragraphs; units of fewer words or letters than a bound stay. Or they are cut into all three
+(`nested`, as op9 does): paragraphs and lines of any length, and sentences inside lines, where the
+bound holds for a sentence or for a run of shorter sentences, which is one unit. A unit that lies in
+a removed one is not named again. A unit is normalised (lower case, white space collapsed) and hashed
+to 128 bits. Digests are grouped over the corpus, each kind by itself; the occurrence of least
+(doc_id, start) is kept, all others are removed; a kept paragraph or line may lose smaller units to
+earlier places. Offsets are those of the original text, in code points.
 
 Only digests that occur more than once are joined back, so the join is as large as the repeats.
 Sums per digest are partial before their shuffle; the join back is split by AQE if a digest is hot.
 
 Defined cases: null and empty texts have no units; null ids rank last; rows alike in id and text
-are one document whose second and later copies lose all their units of the least size; empty tables
+are one document whose second and later copies lose all their units; empty tables
 give no rows; extra columns pass by untouched.
 """
 
@@ -33,8 +36,10 @@ UNITS = {
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+"),
 }
+NESTED = "nested"
+KINDS = ("paragraph", "line", "sentence")  # from the largest; a unit's level is its place here
 LAST = (1 << 63) - 1
-SCHEMA = "doc_id long, h1 long, h2 long, unit int, start int, end int, n_words int, d1 long, d2 long"
+SCHEMA = "doc_id long, h1 long, h2 long, level int, unit int, start int, end int, n_words int, d1 long, d2 long"
 
 
 def units_of(text: str | None, unit: str = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS):
@@ -48,7 +53,61 @@ def units_of(text: str | None, unit: str = "sentence", min_words: int = MIN_WORD
         if len(plain) < min_chars:
             continue
         start = m.start() + len(raw) - len(raw.lstrip())
-        yield k, start, m.start() + len(raw.rstrip()), len(words), xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))
+        yield k, start, m.start() + len(raw.rstrip()), len(words), _digest(plain)
+
+
+def _digest(plain: str) -> bytes:
+    return xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))
+
+
+def nested_units(text: str | None, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS):
+    """(level, number, start, end, words, digest) of each paragraph and line, whatever its size, and of
+    each sentence, or run of smaller sentences of a line, of the least size."""
+    text, counts = text or "", [0, 0, 0]
+
+    def unit(level: int, parts: list[tuple[int, int, int, str]]):
+        number, counts[level] = counts[level], counts[level] + 1
+        return level, number, parts[0][0], parts[-1][1], sum(p[2] for p in parts), _digest(" ".join(p[3] for p in parts))
+
+    def large(parts: list[tuple[int, int, int, str]]) -> bool:
+        return sum(p[2] for p in parts) >= min_words and sum(len(p[3]) + 1 for p in parts) > min_chars
+
+    paragraph: list[tuple[int, int, int, str]] = []
+    before = 0
+    for m in UNITS["line"].finditer(text):
+        line = []
+        for s in UNITS["sentence"].finditer(text, m.start(), m.end()):
+            raw = s[0]
+            if words := raw.lower().split():
+                line.append((s.start() + len(raw) - len(raw.lstrip()), s.start() + len(raw.rstrip()), len(words), " ".join(words)))
+        if paragraph and (not line or m.start() > before + 1):  # a blank line
+            yield unit(0, paragraph)
+            paragraph = []
+        before = m.end()
+        if not line:
+            continue
+        yield unit(1, line)
+        paragraph += line
+        run: list[tuple[int, int, int, str]] = []
+        for part in line:
+            if large([part]):
+                if large(run):
+                    yield unit(2, run)
+                yield unit(2, [part])
+                run = []
+            else:
+                run.append(part)
+        if large(run):
+            yield unit(2, run)
+    if paragraph:
+        yield unit(0, paragraph)
+
+
+def _units(text: str | None, unit: str, min_words: int, min_chars: int):
+    """nested_units, or those of one kind in the same form."""
+    if unit == NESTED:
+        return nested_units(text, min_words, min_chars)
+    return ((KINDS.index(unit), *u) for u in units_of(text, unit, min_words, min_chars))
 
 
 def find_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -59,13 +118,13 @@ def find_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WOR
         for batch in batches:
             ids, one, two, texts = (batch.column(k) for k in range(4))
             for at in range(0, len(texts), 256):
-                rows = [(at + k, *u) for k, t in enumerate(texts.slice(at, 256).to_pylist()) for u in units_of(t, unit, min_words, min_chars)]
+                rows = [(at + k, *u) for k, t in enumerate(texts.slice(at, 256).to_pylist()) for u in _units(t, unit, min_words, min_chars)]
                 if not rows:
                     continue
-                row, number, start, end, words, digests = zip(*rows, strict=True)
+                row, level, number, start, end, words, digests = zip(*rows, strict=True)
                 row = pa.array(row)
                 halves = [[int.from_bytes(d[k : k + 8], "little", signed=True) for d in digests] for k in (0, 8)]
-                ints = (pa.array(x, pa.int32()) for x in (number, start, end, words))
+                ints = (pa.array(x, pa.int32()) for x in (level, number, start, end, words))
                 longs = (pa.array(x, pa.int64()) for x in halves)
                 yield pa.RecordBatch.from_arrays([ids.take(row), one.take(row), two.take(row), *ints, *longs], SCHEMA_NAMES)
 
@@ -76,20 +135,25 @@ SCHEMA_NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
 def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per removed unit: doc_id, h1, h2, copy, unit, start, end, n_words, first_doc_id, first_start."""
+    """One row per removed unit: doc_id, h1, h2, copy, level, unit, start, end, n_words, first_doc_id, first_start."""
     units = materialize(find_units(docs, unit, min_words, min_chars), "units")
     rank = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "h1", "h2", "start", "doc_id")
-    repeats = units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
+    repeats = units.groupBy("level", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
     # Written, so that both sides of the join are plain shuffles, whose hot partitions AQE can split.
     repeats = materialize(repeats, "repeats")
-    hits = units.join(repeats, ["d1", "d2"])
+    hits = units.join(repeats, ["level", "d1", "d2"])
     # Rows alike in id and text have the same units: copy 1 keeps first occurrences, others nothing.
-    same = hits.groupBy("doc_id", "h1", "h2", "unit", "start", "end", "n_words", "first").agg(F.count(F.lit(1)).alias("copies"))
+    same = hits.groupBy("doc_id", "h1", "h2", "level", "unit", "start", "end", "n_words", "first").agg(F.count(F.lit(1)).alias("copies"))
     each = same.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     mine = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "h1", "h2", "start", "doc_id")
     first = (mine["rank"] == F.col("first.rank")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2")) & (F.col("start") == F.col("first.start"))
-    return each.where(~(first & (F.col("copy") == 1))).select(
-        "doc_id", "h1", "h2", "copy", "unit", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")
+    gone = each.where(~(first & (F.col("copy") == 1)))
+    if unit == NESTED:
+        # Units either nest or lie apart, so one reaches no farther than those before it only inside of them.
+        whole = Window.partitionBy("doc_id", "h1", "h2", "copy").orderBy("start", F.desc("end"), "level").rowsBetween(Window.unboundedPreceding, -1)
+        gone = gone.withColumn("reached", F.max("end").over(whole)).where("reached is null or end > reached")
+    return gone.select(
+        "doc_id", "h1", "h2", "copy", "level", "unit", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")
     )
 
 
@@ -120,5 +184,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", unit: str = "sentence",
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_units(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "copy", "unit", "start", "end", "n_words", "first_doc_id", "first_start")
+    found = repeated_units(documents(spark, sf_dir).select("doc_id", "text"), NESTED)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("level") + 1)
+    return found.select("doc_id", "copy", kind.alias("kind"), "unit", "start", "end", "n_words", "first_doc_id", "first_start")

@@ -230,3 +230,22 @@ def test_remove_repeats(docs_of, awkward):
     out = substrings.remove_repeats(docs_of(rows))
     assert rows_of(out, "doc_id", "text") == sorted([(1, f"a. {line} Then."), (2, "b.  Last."), (2, "b.  Last."), (3, None), (None, "")], key=str)
     assert substrings.remove_repeats(docs_of(awkward, True)).count() == len(awkward)
+
+
+def test_repeated_lines_of_short_sentences(spark, tmp_path, docs_of, awkward):
+    line, short = "This sentence has quite enough words to be looked at closely.", "Yes. No. We do. Who knows. Not me. Some day it ends. So be it. Good."
+    rows = [
+        (1, f"{short}\nOne.\nAll rights reserved."), (2, f"Two.\n{short.upper()}\nAll  rights reserved."), (3, f"{line} {short} {line[5:]}"), (4, f"x {line} {short}"),
+        (5, "a b\nc d e\n\nother"), (6, "a b c\nd e\n \n\nnone"), (7, f"{line} Good."),
+    ]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(substrings.op9_substring_dedup(spark, str(tmp_path)), "doc_id", "kind", "start", "end", "first_doc_id")
+    at = len(f"x {line} ")
+    assert got == [
+        (2, "line", 5, 5 + len(short), 1), (2, "line", 6 + len(short), len(rows[1][1]), 1), (3, "sentence", len(line) + 1, len(line) + 1 + len(short), 1),
+        (4, "sentence", at, at + len(short), 1), (6, "paragraph", 0, 9, 5), (7, "sentence", 0, len(line), 3),
+    ]
+    twice = [(1, short), (1, short), (None, short), (2, None), (3, f"{line}\n{short}\n{line}")]
+    out = substrings.remove_repeats(docs_of(twice), unit=substrings.NESTED)
+    assert rows_of(out, "doc_id", "text") == sorted([(1, short), (1, ""), (None, ""), (2, None), (3, f"{line}\n\n")], key=str)
+    assert substrings.remove_repeats(docs_of(awkward, True), unit=substrings.NESTED).count() == len(awkward)
