@@ -14,7 +14,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strokeloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from strokeloom.llm import decontaminate, jaccard, mixing, sharding, toxicity
 from strokeloom.llm.common import materialize
 
 LAST = (1 << 63) - 1
@@ -48,14 +48,17 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one of least id (null last), then of least fingerprint."""
-    printed = simhash.with_fingerprints(docs)
-    small = materialize(printed.select("doc_id", "_fp").distinct(), "simhash")
-    groups = simhash.near_duplicate_groups(small)
+    """Keeps one document of each group of near copies (a similarity of 0.8 or more on five words):
+    the one of least id (null last), then of least digest."""
     rank = F.coalesce("doc_id", F.lit(LAST))
-    kept = small.join(groups, "_fp").groupBy("_root").agg(F.min(F.struct(rank.alias("_rank"), "_fp")).alias("k")).select("k.*")
-    hits = printed.withColumn("_rank", rank).join(kept, ["_rank", "_fp"], "left_semi")
-    one = F.row_number().over(Window.partitionBy("_rank", "_fp").orderBy(F.xxhash64(*docs.columns)))
+    keyed = docs.withColumns({"_rank": rank, "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    texts = keyed.select("_rank", "_h1", "_h2", "text")
+    placed = materialize(jaccard.with_sets(texts), "shingles")
+    roots = jaccard.groups(texts, placed).withColumnRenamed("root", "_root")
+    named = placed.select("_rank", "_h1", "_h2", "set").join(roots, "set", "left").withColumn("_root", F.coalesce("_root", "set"))
+    kept = named.groupBy("_root").agg(F.min(F.struct("_rank", "_h1", "_h2")).alias("k")).select("k.*")
+    hits = keyed.join(kept, ["_rank", "_h1", "_h2"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("_rank", "_h1", "_h2").orderBy(F.xxhash64(*docs.columns)))
     return hits.withColumn("_n", one).where("_n = 1").select(*docs.columns)
 
 

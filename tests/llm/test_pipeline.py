@@ -28,6 +28,27 @@ def test_one_document_of_each_group_stays(spark, docs_of, sf_dir):
     assert sorted(r.doc_id for r in out.collect()) == sorted(groups)
 
 
+def test_near_copies_on_five_words(spark, docs_of, sf_dir):
+    words = [f"w{k}" for k in range(104)]  # 100 shingles, of which a changed word alters five
+    changed = lambda *at: " ".join("new" if k in at else w for k, w in enumerate(words))
+    given = [(1, changed()), (2, changed(50)), (3, changed(10, 50, 90)), (4, changed(50).upper()), (None, None), (5, " ")]
+    given += [(6 + k, " ".join(words[:60] + [f"x{k}y{n}" for n in range(44)])) for k in range(3)] + [(20, changed(50, 70)), (21, changed(20, 40, 60, 80))]
+    out = STAGE["simhash_near_dedup"](spark, docs_of(given, True), sf_dir)
+
+    def alike(a, b):
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((t or "").lower().split() for t in (a, b)))
+        return x == y or len(x & y) >= 0.8 * len(x | y)
+
+    group = list(range(len(given)))
+    for i, (_, a) in enumerate(given):
+        for j, (_, b) in enumerate(given[:i]):
+            if alike(a, b):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min((given[k][0] is None, given[k][0] or 0) for k in range(len(given)) if group[k] == g)[1] for g in group}
+    assert sorted(r.doc_id for r in out.collect()) == sorted(least.values())
+    assert 1 in least.values() and 2 not in least.values() and {6, 7, 8} <= set(least.values())
+
+
 def test_leaks_go_and_clean_documents_stay(spark, docs_of, sf_dir):
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
     docs = docs_of([(1, SENTENCE), (2, f"{SENTENCE} {item} {SENTENCE}"), (3, None), (2, item), (None, item), (None, SENTENCE)], True)
