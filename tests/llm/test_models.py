@@ -110,3 +110,11 @@ def test_labels_of_one_class_or_none(spark, docs_of, awkward):
     for labels in (none, nulls):
         model = toxicity.train(docs, labels)
         assert {r._score for r in toxicity.with_scores(docs, model).collect()} == {0.0}
+
+
+def test_fit_takes_more_than_6000_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, langs: seen.append(len(texts)))
+    ids = spark.range(9000).withColumnRenamed("id", "doc_id")
+    toxicity.train(ids.selectExpr("doc_id", "'some text' as text", "'en' as lang"), ids.selectExpr("doc_id", "doc_id % 2 as toxic"))
+    assert seen == [ids.where(toxicity.fold(ids.doc_id) != toxicity.HELD_OUT).count()] and seen[0] > 6000 and toxicity.EPOCHS == 5
