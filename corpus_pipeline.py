@@ -18,9 +18,6 @@ from strokeloom.llm import decontaminate, jaccard, mixing, sharding, toxicity
 from strokeloom.llm.common import materialize
 
 LAST = (1 << 63) - 1
-#: A document goes if at least this many of its words lie in benchmark windows of the full size, or
-#: in a whole shorter item: five words, as in other stages on word shingles.
-LEAST_HIT = 5
 
 
 #: Columns that stages read; all others travel in one struct, so that no name can clash.
@@ -63,9 +60,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with LEAST_HIT words or more in benchmark passages."""
+    """Drops documents that hold a benchmark window of the full size, or a whole shorter item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontaminate.decontaminate(docs.select("doc_id", "text"), items).where(F.col("n_hit") >= LEAST_HIT)
+    found = decontaminate.decontaminate(docs.select("doc_id", "text"), items).where(F.col("n_hit") > 0)
     hit = found.select(F.coalesce("doc_id", F.lit(LAST)).alias("_rank"), "_dh1", "_dh2").distinct()
     one, two = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
     keyed = docs.withColumns({"_rank": F.coalesce("doc_id", F.lit(LAST)), "_dh1": one, "_dh2": two})

@@ -56,6 +56,13 @@ def test_leaks_go_and_clean_documents_stay(spark, docs_of, sf_dir):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None"]
 
 
+def test_short_items_go_as_well(spark, docs_of, tmp_path):
+    spark.createDataFrame([("b1", "zweb orn"), ("b2", SENTENCE)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_of([(1, "some words zweb orn others"), (2, "zweb and orn"), (3, f"x {SENTENCE}"), (4, " ".join(SENTENCE.split()[:9]))], True)
+    out = STAGE["benchmark_decontamination"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [2, 4]
+
+
 def test_mix_takes_documents_by_target(spark, docs_of, sf_dir):
     docs = docs_of([(k, SENTENCE) for k in range(400)], True)
     out = STAGE["mixing_sources"](spark, docs, sf_dir)
