@@ -128,5 +128,7 @@ def _few(per_source: DataFrame) -> bool:
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    mixed = mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    mixed = mix_sources(docs).select(
+        "doc_id", "size", "source_size", "target", "taken", "position", "first", "second", F.when(F.col("second") > 0, F.col("position_again")).alias("position_again")
+    )
     return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

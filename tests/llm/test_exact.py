@@ -249,3 +249,10 @@ def test_repeated_lines_of_short_sentences(spark, tmp_path, docs_of, awkward):
     out = substrings.remove_repeats(docs_of(twice), unit=substrings.NESTED)
     assert rows_of(out, "doc_id", "text") == sorted([(1, short), (1, ""), (None, ""), (2, None), (3, f"{line}\n\n")], key=str)
     assert substrings.remove_repeats(docs_of(awkward, True), unit=substrings.NESTED).count() == len(awkward)
+
+
+def test_second_occurrences_have_a_position(spark, sf_dir):
+    rows = QUERIES["op6_mixing_sources"](spark, sf_dir).collect()
+    twice = [r for r in rows if r.second]
+    assert twice and all(r.position_again is not None and r.position_again >= r.position for r in twice)
+    assert all(r.position_again is None for r in rows if not r.second) and all(r.first + r.second == r.taken for r in rows)
