@@ -5,12 +5,15 @@ one, two and three words run over the text, each keeps its maximum, and a logist
 maxima. As the filters are linear before pooling, a word's share in each filter is computed once
 per distinct word, and a text's filters are sums of gathered rows.
 
-The fit uses a bounded sample (MAX_TRAIN labelled rows, in hash order, of at most MAX_TRAIN_BYTES
-each); a quarter of it is kept out of training, to calibrate the score and to set a threshold for
-each language. Scoring covers every whole text.
-
-Defined cases: a null or empty text scores as a text without words; labels that are null, lack a
-document or repeat (the larger counts) do no harm; with labels of one class only, or none, every
+The fit uses a bounded sample: labelled rows in hash order, up to MAX_TRAIN rows and MAX_TRAIN_BYTES
+of text together (a text over 1 / PARTS of that is no part of it). In the driver a word is a number,
+so memory follows the distinct words and 4 bytes a word. A quarter of the sample is kept out of
+training, to calibrate the score and to set a threshold for each language. Scoring covers every
+whole text.
+
+Defined cases: a null or empty text scores as a text without words; a document of the sample that
+repeats is learnt as often; equal texts have equal scores; an empty table gives no rows; labels that
+are null, lack a document or repeat (the larger counts) do no harm; with labels of one class only, or none, every
 score is 0; long texts are scored in overlapping blocks, whose maxima are the text's maxima;
 extra columns pass by untouched.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,10 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strokeloom.llm.common import documents
+from strokeloom.llm.common import documents, materialize
 
-MAX_TRAIN = 12_000
-MAX_TRAIN_BYTES = 32_768
+MAX_TRAIN = 12_000  # rows of the fit
+MAX_TRAIN_BYTES = 64 << 20  # of all their texts together
+PARTS = 16  # ranges of the sample; the driver holds the texts of one
 BUCKETS = 1 << 16
 DIM = 12
 FILTERS = 8  # of each width
@@ -96,25 +101,65 @@ def _convolved(shares: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Rows(dict):
-    """rows_of, computed once per word of the sample."""
+@dataclass
+class Sample:
+    """Texts of the fit as places in a list of distinct words: no word is held twice.
+
+    ids: the words of all texts in turn; ends: where each text ends there; rows and row_ends: the
+    hashed rows of each distinct word, likewise.
+    """
+
+    ids: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    row_ends: np.ndarray
 
-    def __missing__(self, word: str) -> list[int]:
-        self[word] = found = rows_of(word)
-        return found
+    def text(self, k: int) -> np.ndarray:
+        return self.ids[self.ends[k - 1] if k else 0 : self.ends[k]]
 
+    def rows_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashed rows of the words in turn, how many each has)."""
+        first = np.where(words > 0, self.row_ends[words - 1], 0)
+        many = self.row_ends[words] - first
+        ends = np.cumsum(many)
+        return self.rows[np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)], many
 
-def _log_odds(texts: list[list[str]], labels: np.ndarray, known: _Rows) -> np.ndarray:
+
+class SampleMaker:
+    """Takes texts one by one; a text is dropped once its words are numbers."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+        self.ids, self.ends, self.rows, self.row_ends = array("i"), array("q"), array("i"), array("q")
+
+    def add(self, text: str | None) -> None:
+        names = self.names
+        for m in WORD.finditer((text or "").lower()):
+            word = m[0]
+            k = names.get(word)
+            if k is None:
+                k = names[word] = len(names)
+                self.rows.extend(rows_of(word))
+                self.row_ends.append(len(self.rows))
+            self.ids.append(k)
+        self.ends.append(len(self.ids))
+
+    def made(self) -> Sample:
+        self.names.clear()
+        return Sample(*(np.array(x, t) for x, t in ((self.ids, np.int32), (self.ends, np.int64), (self.rows, np.int32), (self.row_ends, np.int64))))
+
+
+def _log_odds(sample: Sample, picked: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Each hashed row's smoothed log odds of toxic texts against others, by texts that hold it."""
     counts = np.zeros((2, BUCKETS))
-    for words, label in zip(texts, labels, strict=True):
-        counts[label, np.fromiter({x for w in set(words) for x in known[w]}, np.int64)] += 1
+    for k, label in zip(picked.tolist(), labels.tolist(), strict=True):
+        counts[label, np.unique(sample.rows_of(np.unique(sample.text(k)))[0])] += 1
     share = (counts + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1.0)
     odds = np.log(share[1] / share[0])
     return np.clip(odds * np.minimum(1.0, counts.sum(axis=0) / 6), -3, 3)
 
 
-def fit(texts: list[str | None], labels: list[int], langs: list[str | None]) -> Model:
+def fit(sample: Sample, labels: list[int], langs: list[str | None]) -> Model:
     """A model from a bounded sample. The first filter starts at the hashed rows' log odds."""
     y = np.asarray(labels, np.int64)
     rng = np.random.default_rng(SEED)
@@ -128,10 +173,7 @@ def fit(texts: list[str | None], labels: list[int], langs: list[str | None]) ->
     if len(set(y[train].tolist())) < 2:
         model.constant = 0.0
         return model
-    one: dict[str, str] = {}  # equal words of the sample share one object: the driver's memory
-    tokens = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
-    known = _Rows()
-    model.table[:, 0] = _log_odds([tokens[k] for k in train], y[train], known)
+    model.table[:, 0] = _log_odds(sample, train, y[train])
     model.filters[0, :] = 0
     model.filters[1:, 0] = 0
     model.filters[0, 0], model.filters[1:, 1] = 1.0, model.filters[1:, 1]
@@ -144,64 +186,75 @@ def fit(texts: list[str | None], labels: list[int], langs: list[str | None]) ->
         rng.shuffle(train)
         for at in range(0, len(train), BATCH):
             picked = train[at : at + BATCH]
-            slow_offset = _step(model, slow, slow_offset, [tokens[k] for k in picked], y[picked], known)
-    _calibrate(model, [tokens[k] for k in kept], y[kept], [langs[k] for k in kept])
+            slow_offset = _step(model, slow, slow_offset, sample, picked, y[picked])
+    raw = np.concatenate([_pooled(model, sample, kept[k : k + BATCH])[0] for k in range(0, len(kept), BATCH)]) @ model.out + model.offset if len(kept) else np.zeros(0)
+    _calibrate(model, raw, y[kept], [langs[k] for k in kept])
     return model
 
 
-def _step(model: Model, slow: dict, slow_offset: float, texts: list[list[str]], y: np.ndarray, known: _Rows) -> float:
-    """One Adagrad step; only each filter's best window of each text has a gradient."""
-    f = FILTERS
-    names = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-    rows = [known[w] for w in names]
-    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum()))
-    mean = np.zeros((len(rows) + 1, DIM), np.float32)
-    if len(rows):
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        mean[:-1] = np.add.reduceat(model.table[flat], starts, axis=0) / lengths[:, None]
+def _pooled(model: Model, sample: Sample, picked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the picked texts: the pooled filters, then what a gradient needs: the word at each step of
+    each filter's best window (texts x words of all filters, -1: none), the distinct words, their
+    hashed rows, how many each has, and their embeddings."""
+    f, texts = FILTERS, [sample.text(k) for k in picked.tolist()]
+    words, ids = np.unique(np.concatenate(texts), return_inverse=True)
+    rows, many = sample.rows_of(words)
+    mean = np.zeros((len(words) + 1, DIM), np.float32)  # the last: the empty word
+    if len(words):
+        mean[:-1] = np.add.reduceat(model.table[rows], np.cumsum(many) - many, axis=0) / many[:, None]
     shares = mean @ model.filters
-    none, g_mean = len(rows), np.zeros_like(mean)
-    g_filters, g_bias, g_out, g_offset = np.zeros_like(model.filters), np.zeros_like(model.bias), np.zeros_like(model.out), 0.0
-    for words, label in zip(texts, y, strict=True):
-        ids = np.fromiter((names[w] for w in words), np.int64, len(words))
-        ids = np.concatenate([ids if len(ids) else [none], [none, none]]).astype(np.int64)
-        conv = _convolved(shares, ids)
-        best = conv.argmax(axis=0)
-        top = conv[best, np.arange(3 * f)] + model.bias
-        pooled = np.maximum(top, 0)
-        p = 1 / (1 + np.exp(-np.clip(pooled @ model.out + model.offset, -30, 30)))
-        g = p - label
-        g_out += g * pooled
-        g_offset += g
-        g_top = g * model.out * (top > 0)
-        g_bias += g_top
-        column = 0
-        for k, width in enumerate(WIDTHS):
-            mine = slice(k * f, (k + 1) * f)
+    pooled, words_at = np.empty((len(texts), 3 * f), np.float32), np.empty((len(texts), 6 * f), np.int64)
+    at = 0
+    for k, text in enumerate(texts):
+        mine = np.concatenate([ids[at : at + len(text)], [len(words)] * (2 if len(text) else 3)]).astype(np.int64)
+        at += len(text)
+        tops, best = [], []
+        for s in range(0, max(1, len(text)), BLOCK):
+            conv = _convolved(shares, mine[s : s + BLOCK + 2])
+            best.append(conv.argmax(axis=0) + s)
+            tops.append(conv.max(axis=0))
+        pick = np.argmax(tops, axis=0)
+        pooled[k] = np.maximum(np.array(tops)[pick, np.arange(3 * f)] + model.bias, 0)
+        where, column = np.array(best)[pick, np.arange(3 * f)], 0
+        for w, width in enumerate(WIDTHS):
             for step in range(width):
-                at = ids[best[mine] + step]
-                block = slice(column, column + f)
-                g_filters[:, block] += mean[at].T * g_top[mine]
-                np.add.at(g_mean, at, model.filters[:, block].T * g_top[mine][:, None])
+                words_at[k, column : column + f] = mine[where[w * f : (w + 1) * f] + step]
                 column += f
-    touched = np.nonzero(np.abs(g_mean[:-1]).sum(axis=1))[0]
-    g_table: dict[int, np.ndarray] = {}
-    for k in touched:
-        for x in rows[k]:
-            g_table[x] = g_table.get(x, 0) + g_mean[k] / lengths[k]
-    n = len(texts)
-    for name, grad in (("filters", g_filters), ("bias", g_bias), ("out", g_out)):
+    return pooled, words_at, words, rows, many, mean
+
+
+def _step(model: Model, slow: dict, slow_offset: float, sample: Sample, picked: np.ndarray, y: np.ndarray) -> float:
+    """One Adagrad step; only each filter's best window of each text has a gradient."""
+    f, n = FILTERS, len(picked)
+    pooled, words_at, words, rows, many, mean = _pooled(model, sample, picked)
+    g = 1 / (1 + np.exp(-np.clip(pooled @ model.out + model.offset, -30, 30))) - y
+    g_top = g[:, None] * model.out * (pooled > 0)
+    g_filters, g_mean = np.zeros_like(model.filters), np.zeros_like(mean)
+    column = 0
+    for k, width in enumerate(WIDTHS):
+        mine = g_top[:, k * f : (k + 1) * f].astype(np.float32)
+        for _ in range(width):
+            block = slice(column, column + f)
+            at = words_at[:, block]
+            g_filters[:, block] = np.einsum("tfd,tf->df", mean[at], mine)
+            np.add.at(g_mean, at.ravel(), (mine[:, :, None] * model.filters[:, block].T).reshape(-1, DIM))
+            column += f
+    for name, grad in (("filters", g_filters), ("bias", g_top.sum(axis=0)), ("out", (g[:, None] * pooled).sum(axis=0))):
         grad = grad / n
         slow[name] += grad**2
         getattr(model, name)[...] -= RATE * grad / np.sqrt(slow[name])
-    if g_table:
-        at = np.fromiter(g_table, np.int64, len(g_table))
-        grad = np.stack([g_table[x] for x in at.tolist()]) / n
+    moved = np.repeat(np.abs(g_mean[:-1]).sum(axis=1) > 0, many)
+    if moved.any():
+        each = np.repeat(g_mean[:-1] / np.maximum(many, 1)[:, None], many, axis=0)[moved]
+        at, place = np.unique(rows[moved], return_inverse=True)
+        grad = np.zeros((len(at), DIM), np.float32)
+        np.add.at(grad, place, each)
+        grad /= n
         slow["table"][at] += grad**2
         model.table[at] -= RATE * grad / np.sqrt(slow["table"][at])
-    slow_offset += (g_offset / n) ** 2
-    model.offset -= RATE * (g_offset / n) / np.sqrt(slow_offset)
+    g_offset = float(g.sum()) / n
+    slow_offset += g_offset**2
+    model.offset -= RATE * g_offset / np.sqrt(slow_offset)
     return slow_offset
 
 
@@ -283,9 +336,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(m.scale * self.logits(texts) + m.shift, -30, 30)))
 
 
-def _calibrate(model: Model, texts: list[list[str]], y: np.ndarray, langs: list[str | None]) -> None:
+def _calibrate(model: Model, raw: np.ndarray, y: np.ndarray, langs: list[str | None]) -> None:
     """Score 0.5 and each language's threshold stand where the kept rows have the best F1."""
-    raw = Scorer(model).of_words(texts)
     if len(set(y.tolist())) < 2:
         return
 
@@ -311,15 +363,28 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """docs: (doc_id, text, lang); labels: (doc_id, toxic). Rows of the held-out fold are not used."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
+    """docs: (doc_id, text, lang); labels: (doc_id, toxic). Rows of the held-out fold are not used.
+
+    The sample is written, so that it is joined and sorted once. It comes to the driver in PARTS
+    ranges of hash order, one at a time, and turns into numbers as it comes.
+    """
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     usable = marked.where(fold(F.col("doc_id")) != HELD_OUT)
     picked = usable.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_train)
-    sample = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= MAX_TRAIN_BYTES).join(F.broadcast(picked), "doc_id")
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sample = docs.select("doc_id", "text", "lang", bytes_.alias("_bytes")).where(F.col("_bytes") <= max_bytes // PARTS).join(F.broadcast(picked), "doc_id")
     order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    rows = sample.orderBy(*order).limit(max_train).select("text", "toxic", "lang").collect()
-    return fit([r.text for r in rows], [int(r.toxic) for r in rows], [r.lang for r in rows])
+    rows = materialize(sample, "labelled").repartitionByRange(PARTS, *order).sortWithinPartitions(*order)
+    maker, y, langs, held = SampleMaker(), [], [], 0
+    for r in rows.select("text", "toxic", "lang", "_bytes").toLocalIterator():
+        if len(y) == max_train or held + r["_bytes"] > max_bytes:
+            break
+        maker.add(r["text"])
+        y.append(int(r["toxic"]))
+        langs.append(r["lang"])
+        held += r["_bytes"]
+    return fit(maker.made(), y, langs)
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "_score") -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators whose results are approximate: recall and held-out accuracy."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -114,7 +116,62 @@ def test_labels_of_one_class_or_none(spark, docs_of, awkward):
 
 def test_fit_takes_more_than_6000_rows(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, langs: seen.append(len(texts)))
+    monkeypatch.setattr(toxicity, "fit", lambda sample, labels, langs: seen.append(len(sample.ends)))
     ids = spark.range(9000).withColumnRenamed("id", "doc_id")
     toxicity.train(ids.selectExpr("doc_id", "'some text' as text", "'en' as lang"), ids.selectExpr("doc_id", "doc_id % 2 as toxic"))
     assert seen == [ids.where(toxicity.fold(ids.doc_id) != toxicity.HELD_OUT).count()] and seen[0] > 6000 and toxicity.EPOCHS == 5
+
+
+def plain_score(model, text):
+    """The classifier word by word, window by window."""
+    words, f = toxicity.words_of(text), toxicity.FILTERS
+    vectors = [np.mean([model.table[x] for x in toxicity.rows_of(w)], axis=0) for w in words]
+    vectors += [np.zeros(toxicity.DIM)] * (2 if words else 3)
+    logit, column = model.offset, 0
+    for k, width in enumerate(toxicity.WIDTHS):
+        for j in range(f):
+            weights = [model.filters[:, column + step * f + j] for step in range(width)]
+            top = max(sum(float(v @ w) for v, w in zip(vectors[i:], weights, strict=False)) for i in range(max(1, len(words))))
+            logit += max(0.0, top + model.bias[k * f + j]) * model.out[k * f + j]
+        column += width * f
+    return 1 / (1 + np.exp(-(model.scale * logit + model.shift)))
+
+
+def test_scores_equal_a_plain_forward_pass(trained, awkward):
+    texts = [t for _, t in awkward if not t or len(t) < 3000] + [r.text for r in trained[0].limit(40).collect()] + ["a", "a b", "a b c"]
+    assert toxicity.Scorer(trained[2]).scores(texts) == pytest.approx([plain_score(trained[2], t) for t in texts], abs=1e-4)
+
+
+def test_pooled_of_the_fit_is_that_of_the_scorer(trained, monkeypatch):
+    model, texts = trained[2], ["w1 w2 grumbo w3 w1", None, "", "w7", "w7 w8 " + " ".join(f"w{k}" for k in range(90))]
+    maker = toxicity.SampleMaker()
+    for t in texts:
+        maker.add(t)
+    sample, want = maker.made(), toxicity.Scorer(model).logits(texts)
+    for block in (toxicity.BLOCK, 7):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        pooled = toxicity._pooled(model, sample, np.arange(5))[0]
+        assert pooled @ model.out + model.offset == pytest.approx(want, abs=1e-4)
+
+
+def test_sample_is_bounded_in_bytes_and_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample, labels, langs: seen.append((len(sample.ends), len(sample.ids))))
+    ids = spark.range(300).withColumnRenamed("id", "doc_id")
+    docs = ids.selectExpr("doc_id", "if(doc_id = 7, repeat('long ', 1000), 'four words of text') as text", "'en' as lang")
+    labels = ids.selectExpr("doc_id", "doc_id % 2 as toxic")
+    toxicity.train(docs, labels, max_train=50)
+    toxicity.train(docs, labels, max_bytes=18 * 60)
+    assert seen == [(50, 49 * 4 + 1000), (60, 240)]  # the long text is no part of the small sample
+
+
+def test_toxicity_query(spark, sf_dir):
+    rows = toxicity.op7_toxicity(spark, sf_dir).toPandas()
+    docs, labels = (pd.read_parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    assert sorted(rows["doc_id"]) == sorted(docs["doc_id"]) and rows["score"].between(0, 1).all()
+    assert (rows["predicted"] == (rows["score"] >= 0.5)).all()
+    assert rows["held_out"].tolist() == [zlib.crc32(str(k).encode()) % 5 == 0 for k in rows["doc_id"]]
+    again = toxicity.op7_toxicity(spark, sf_dir).toPandas().set_index("doc_id")["score"]
+    assert (again[rows["doc_id"]].to_numpy() == rows["score"].to_numpy()).all()
+    assert toxicity.with_scores(spark.createDataFrame([], "doc_id long, text string"), toxicity.fit(toxicity.SampleMaker().made(), [], [])).count() == 0
+    assert labels["toxic"].sum() > 0
