@@ -74,7 +74,7 @@ def common_hashes(docs: DataFrame) -> np.ndarray:
     sample = docs.where(F.pmod("_h1", F.lit(SAMPLE)) == 0)
     each = _mapped(sample, ["_h1"], lambda t: (shingles(t),), "grams array<long>").select(F.explode("grams").alias("gram"))
     counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    return np.sort(counts.orderBy(F.desc("n"), "gram").limit(MAX_COMMON).toPandas()["gram"].to_numpy(np.int64))
+    return np.sort(counts.orderBy(F.desc("n"), "gram").limit(MAX_COMMON).select("gram").toArrow()["gram"].to_numpy())
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
