@@ -15,6 +15,11 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 ASCII_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, which may hold dots or backticks."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 

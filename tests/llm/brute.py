@@ -133,3 +133,18 @@ def substrings(docs, threshold=100):
         spans = len(re.findall(b"\x01+", bytes(gone)))
         out.append((doc, len(data), sum(gone), spans, sha(kept)))
     return sorted(out, key=str)
+
+
+def spark_hash(*values):
+    """xxhash64 of several columns: whole numbers as int, or as (number, "q") for long; texts as str; null passes."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is None or v == (None, "q"):
+            continue
+        raw = v.encode() if isinstance(v, str) else struct.pack("<q", v[0]) if isinstance(v, tuple) else struct.pack("<i", v)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h

@@ -159,24 +159,62 @@ def test_secrets_query(spark, sf_dir):
 @pytest.mark.parametrize("extra", [False, True])
 def test_sharding(docs_of, awkward, extra):
     rows = awkward + [(7, "same")] * 500
-    docs = docs_of(rows, extra).withColumn("bytes", F.octet_length("text"))
-    found = sharding.shard_documents(docs, size="bytes", bucket_rows=50).toPandas() if not extra else sharding.shard_documents(docs.drop("shard"), size="bytes", bucket_rows=50).toPandas()
-    counts = found["shard"].value_counts()
-    assert len(found) == len(rows) and counts.max() - counts.min() <= 1 and set(counts.index) == set(range(8))
+    found = sharding.placed_records(docs_of(rows, extra).withColumn("a.b", F.lit(1)), bucket_rows=50).toPandas()
+    assert sorted(map(str, zip(found["doc_id"].astype("Int64").astype(object), found["text"], strict=True))) == sorted(
+        map(str, ((pd.NA if i is None else i, t) for i, t in rows))
+    )
+    check_shards(found)
+    # No bucket, and so no shard, gets all copies of one row.
+    assert len(found[found["text"] == "same"]["shard"].value_counts()) == 8
+
+
+def check_shards(found):
+    counts = found["shard"].value_counts().reindex(range(8), fill_value=0)
+    assert counts.max() - counts.min() <= 1 and set(found["shard"]) <= set(range(8))
     for _, g in found.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
-    # No bucket, and so no shard, gets all copies of one row.
-    same = found[found["text"] == "same"]["shard"].value_counts()
-    assert len(same) == 8
 
 
-def test_sharding_edges(docs_of):
-    digest = sharding.text_digest(docs_of([(1, None), (2, "")]))
-    assert {(r.doc_id, r.size, r.text_crc32) for r in digest.collect()} == {(1, 1, 0), (2, 1, 0)}
-    assert sharding.shard_documents(digest).count() == 2
+def test_sharding_places_equal_a_plain_shuffle(spark, sf_dir):
+    """Pass by pass: numbers as Spark gives them, then buckets, swaps and slices in plain Python."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").coalesce(1)
+    given = [tuple(r) for r in docs.collect()]
+    got = {(r.doc_id, r.shard, r.slot) for r in sharding.placed_records(docs, bucket_bytes=40_000).collect()}
+    size = sum(len((t or "").encode()) + 1 for _, t in given)
+    buckets: dict[int, list] = {}
+    n_buckets = -(-size // 40_000)
+    assert n_buckets > 5
+    for k, (doc, _) in enumerate(given):
+        key = brute.spark_hash(sharding.SEED, (k, "q"))
+        buckets.setdefault(brute.spark_hash(sharding.SEED + 1, (key, "q")) % n_buckets, []).append((key, doc))
+    line = []
+    for b in sorted(buckets):
+        order = sorted(buckets[b])
+        line += [order[k][1] for k in sharding.fisher_yates(len(order), (sharding.SEED << 20) + b).tolist()]
+    firsts = [-(-s * len(line) // 8) for s in range(9)]
+    want = {(doc, s, k - firsts[s]) for k, doc in enumerate(line) for s in [8 * k // len(line)]}
+    assert got == want
+
+
+def test_sharding_query_writes_whole_records(spark, sf_dir):
+    import zlib
+
+    found = QUERIES["op10_sharding"](spark, sf_dir).toPandas()
+    texts = dict(pairs(sf_dir))
+    assert {(r.doc_id, r.size, r.text_crc32) for r in found.itertuples()} == {(k, len(t.encode()) + 1, zlib.crc32(t.encode())) for k, t in texts.items()}
+    check_shards(found)
+    again = QUERIES["op10_sharding"](spark, sf_dir).toPandas()
+    assert set(found[["doc_id", "shard", "slot"]].itertuples(index=False, name=None)) == set(again[["doc_id", "shard", "slot"]].itertuples(index=False, name=None))
+
+
+def test_sharding_edges(spark, docs_of, tmp_path):
     big = (1 << 60) + 1
-    assert {r.doc_id for r in sharding.shard_documents(sharding.text_digest(docs_of([(big, "a"), (None, "b")]))).collect()} == {big, None}
-    assert sharding.shard_documents(digest.limit(0)).count() == 0
+    placed = sharding.placed_records(docs_of([(big, "a"), (None, None), (2, "")]))
+    written = sharding.write_shards(placed, f"{tmp_path}/shards")
+    assert sorted(((r.doc_id, r.text) for r in written.collect()), key=str) == sorted([(big, "a"), (None, None), (2, "")], key=str)
+    docs_of([(1, None), (2, "")]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in sharding.op10_sharding(spark, str(tmp_path)).collect()} == {(1, 1, 0, "rows", None), (2, 1, 0, "rows", None)}
+    assert sharding.write_shards(sharding.placed_records(docs_of([])), f"{tmp_path}/none").count() == 0
 
 
 def test_fisher_yates_is_a_permutation():
