@@ -12,9 +12,10 @@
    offset gives the document's training position.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source, the
-last in order; a table without words has targets of 0; documents that repeat are documents of
-their own; rows alike in id, size and source stand next to one another, in any order (their values
-are alike as a multiset). Extra columns may bear any name but those with a leading `_m`.
+last in order; a table without words has targets of 0; an empty table gives no rows; a very long
+text is one document, which a target may cut; rows that repeat are documents of their own, numbered
+and spread over their source like others (which of them has which number is open: they are alike);
+on equal hashes the lesser id stands first. Extra columns are not read and may bear any name.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import count_words, documents, materialize
+from strokeloom.llm.common import count_words, documents, materialize, quoted
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -72,34 +73,36 @@ def mix_sources(
     weights=WEIGHTS, share: float = SHARE, cap: float = CAP, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, first and second
-    (words taken in either run along the source), position in [0, 1], and the columns in carry."""
-    hashed = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    sized = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"),
-        hashed.alias("_mhash"), *(F.col(c).alias(f"_mc_{c}") for c in carry),
+    (words taken in either run along the source), position and position_again (the place in training,
+    in [0, 1], of either; null if the run takes nothing), and the columns in carry, which should be
+    small: texts are not moved."""
+    column = lambda c: quoted([c])[0]
+    digest = docs.select(
+        column(doc_id).alias("doc_id"), column(source).alias("source"), count_words(column(text)).alias("size"),
+        F.xxhash64(F.lit(seed), column(doc_id), column(text)).alias("_mhash"), *(column(c).alias(f"_mc_{c}") for c in carry),
     )
-    digest = materialize(sized.select("doc_id", "source", "size", "_mhash"), "mixing")
-    base = sized if carry else digest
-    per_source = digest.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_mn"))
+    # Rows alike get numbers, from a partial count, so that copies spread over their source like others.
+    counted = digest.groupBy(*digest.columns).agg(F.count(F.lit(1)).alias("_mn"))
+    each = counted.withColumn("_mcopy", F.explode(F.sequence(F.lit(1).cast("long"), "_mn"))).drop("_mn")
+    each = materialize(each.withColumn("_mkey", F.xxhash64(F.lit(seed), "_mhash", "_mcopy")), "mixing")
+    per_source = materialize(each.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_mn")), "sources")
     aims = targets(per_source.select("source", "source_size"), weights, share, cap).withColumnRenamed("source", "_ms")
     aims = aims.join(
         per_source.select(F.col("source").alias("_ms2"), F.ceil(F.col("_mn") / rows_per_bucket).alias("_mbuckets")),
         F.col("_ms").eqNullSafe(F.col("_ms2")),
     ).drop("_ms2")
     # Hash order inside a source: the bucket is the leading part of the order key.
-    unit = (F.shiftrightunsigned("_mhash", 11).cast("double")) / float(1 << 53)
-    aims = F.broadcast(aims) if _few(per_source) else aims
-    place = lambda df: (
-        df.join(aims, F.col("source").eqNullSafe(F.col("_ms"))).drop("_ms").withColumn("_mb", F.floor(unit * F.col("_mbuckets")))
-    )
-    placed = place(base)
+    unit = (F.shiftrightunsigned("_mkey", 11).cast("double")) / float(1 << 53)
+    aims = F.broadcast(aims) if _small(per_source) else aims
+    placed = each.join(aims, F.col("source").eqNullSafe(F.col("_ms"))).drop("_ms").withColumn("_mb", F.floor(unit * F.col("_mbuckets")))
     key = ["source", "_mb"]
-    sums = place(digest).groupBy(*key).agg(F.sum("size").alias("_msum"))
+    sums = placed.groupBy(*key).agg(F.sum("size").alias("_msum"))
     before = F.sum("_msum").over(Window.partitionBy("source").orderBy("_mb").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select(
         F.col("source").alias("_ms"), F.col("_mb").alias("_mb2"), F.coalesce(before, F.lit(0)).alias("_mstart")
     )
-    inside = Window.partitionBy(*key).orderBy("_mhash", "doc_id", "size")
+    # Unsigned order, as in the buckets.
+    inside = Window.partitionBy(*key).orderBy(F.shiftrightunsigned("_mkey", 1), "_mkey", "_mhash", "doc_id", "size")
     inner = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     lined = placed.withColumn("_minner", inner).join(
         offsets, F.col("source").eqNullSafe(F.col("_ms")) & (F.col("_mb") == F.col("_mb2"))
@@ -108,27 +111,25 @@ def mix_sources(
     aim = F.floor("target")
     clip = lambda left: F.greatest(F.lit(0), F.least(F.col("size"), left))
     done = lined.withColumn("first", clip(aim - at)).withColumn("second", clip(aim - F.col("source_size") - at))
-    share_at = F.when(F.col("target") > 0, F.least(F.lit(1.0), at / F.col("target"))).otherwise(F.lit(0.0))
-    again_at = F.when(F.col("target") > 0, F.least(F.lit(1.0), (at + F.col("source_size")) / F.col("target"))).otherwise(F.lit(0.0))
+    time = lambda run, place: F.when(F.col(run) > 0, demand_time(F.least(F.lit(1.0), place / F.col("target")), F.col("slope")))
     return done.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("first") + F.col("second")).cast("long").alias("taken"),
         F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"),
-        demand_time(share_at, F.col("slope")).alias("position"), demand_time(again_at, F.col("slope")).alias("position_again"),
+        time("first", at).alias("position"), time("second", at + F.col("source_size")).alias("position_again"),
         *(F.col(f"_mc_{c}").alias(c) for c in carry),
     )
 
 
-#: A source's row is far under 1 KB; the broadcast is at most this many rows.
-MAX_BROADCAST_SOURCES = 10_000
+MAX_BROADCAST_BYTES = 8 << 20  # of the sources' rows, names included
 
 
-def _few(per_source: DataFrame) -> bool:
-    return per_source.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
+def _small(per_source: DataFrame) -> bool:
+    held = per_source.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 128)).first()[0] or 0
+    return held <= MAX_BROADCAST_BYTES
 
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of training; those that the mix never takes come first, without a position."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    mixed = mix_sources(docs).select(
-        "doc_id", "size", "source_size", "target", "taken", "position", "first", "second", F.when(F.col("second") > 0, F.col("position_again")).alias("position_again")
-    )
+    mixed = mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "first", "second", "position_again")
     return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -148,3 +148,34 @@ def spark_hash(*values):
         raw = v.encode() if isinstance(v, str) else struct.pack("<q", v[0]) if isinstance(v, tuple) else struct.pack("<i", v)
         h = xxhash.xxh64_intdigest(raw, h)
     return h - (1 << 64) if h >> 63 else h
+
+
+def mix(docs, seed=20240607, slopes=(0.5, 0.0, -0.5)):
+    """docs: [(doc_id, text, source)] -> sorted (doc_id, size, taken, position, position_again), positions rounded."""
+    import collections
+    import math
+
+    order = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s or ""))
+    sizes = collections.Counter({s: 0 for s in order})
+    lines, copies = {s: [] for s in order}, collections.Counter()
+    for doc, text, source in docs:
+        n = len(words_of(text))
+        sizes[source] += n
+        copies[doc, text, source] += 1
+        low = spark_hash(seed, (doc, "q"), text)
+        key = spark_hash(seed, (low, "q"), (copies[doc, text, source], "q"))
+        lines[source].append((key % (1 << 64), low, doc is not None, doc or 0, n))
+    aims, out = targets(sizes), []
+    for k, source in enumerate(order):
+        slope, aim, at = slopes[k % len(slopes)], aims[source], 0
+
+        def time(place, slope=slope, aim=aim):
+            share = min(1.0, place / aim)
+            return round(share if slope == 0 else (1 + slope - math.sqrt(max(0.0, (1 + slope) ** 2 - 4 * slope * share))) / (2 * slope), 9)
+
+        for _, _, known, doc, n in sorted(lines[source]):
+            first = max(0, min(n, math.floor(aim) - at))
+            second = max(0, min(n, math.floor(aim) - sizes[source] - at))
+            out.append((doc if known else None, n, first + second, time(at) if first else None, time(at + sizes[source]) if second else None))
+            at += n
+    return sorted(out, key=str)

@@ -119,7 +119,7 @@ def test_mixing(docs_of, awkward, extra):
         s = None if s is None or s != s else s
         assert g["target"].iloc[0] == pytest.approx(aims[s]) and g["source_size"].iloc[0] == by[s]
         assert g["taken"].sum() == int(aims[s])
-    assert found["position"].between(0, 1).all()
+    assert found["position"].dropna().between(0, 1).all() and (found["position"].isna() == (found["first"] == 0)).all()
     again = mixing.mix_sources(docs, rows_per_bucket=16).toPandas()
     key = ["source", "doc_id", "size", "taken"]
     assert sorted(map(str, found[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
@@ -133,6 +133,14 @@ def test_mixing_targets_reshare(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mixing_spreads_copies(docs_of, spark):
+    rows = [(None, None, None)] * 40 + [(1, SENTENCE, "a")] * 90 + [(k, f"{SENTENCE} {k}", "b") for k in range(70)] + [(None, SENTENCE, "a")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_sources(docs, rows_per_bucket=8)
+    got = sorted(((r.doc_id, r.size, r.taken, r.position and round(r.position, 9), r.position_again and round(r.position_again, 9)) for r in found.collect()), key=str)
+    assert got == brute.mix(rows)
+
+
 def test_mixing_position_inverts_the_schedule(spark):
     row = spark.range(11).select((F.col("id") / 10).alias("share")).withColumn("t", mixing.demand_time(F.col("share"), F.lit(0.5)))
     for r in row.collect():
@@ -289,8 +297,10 @@ def test_repeated_lines_of_short_sentences(spark, tmp_path, docs_of, awkward):
     assert substrings.remove_repeats(docs_of(awkward, True), unit=substrings.NESTED).count() == len(awkward)
 
 
-def test_second_occurrences_have_a_position(spark, sf_dir):
+def test_mixing_query_takes_and_places_like_a_plain_version(spark, sf_dir):
     rows = QUERIES["op6_mixing_sources"](spark, sf_dir).collect()
+    got = sorted(((r.doc_id, r.size, r.taken, r.position and round(r.position, 9), r.position_again and round(r.position_again, 9)) for r in rows), key=str)
+    assert got == brute.mix(pairs(sf_dir, "source"))
     twice = [r for r in rows if r.second]
     assert twice and all(r.position_again is not None and r.position_again >= r.position for r in twice)
     assert all(r.position_again is None for r in rows if not r.second) and all(r.first + r.second == r.taken for r in rows)
