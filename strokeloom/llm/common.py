@@ -31,6 +31,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT_SHARE = 1000  # a key with over 1 / HOT_SHARE of all rows, and over HOT_ROWS of them, is hot
+HOT_ROWS = 4096
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows with what table, which was written, says of their key; table has a key once, and in weight
+    how many of the rows have it.
+
+    Hot keys, of which there can't be more than HOT_SHARE, are broadcast; only the others are
+    shuffled, so that no task gets more than HOT_ROWS or its share of the rows by one key.
+    """
+    total, most = table.agg(F.sum(weight), F.max(weight)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    plain = table.drop(weight)
+    if (most or 0) <= least:
+        return rows.join(plain, key)
+    hot = F.broadcast(table.where(F.col(weight) > least).drop(weight))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(weight) <= least).drop(weight), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """What runs inside moves at most `rows` rows at a time to Python; the setting is put back."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import materialize
+from strokeloom.llm.common import joined, materialize
 
 MAX_ROUNDS = 60  # a path of n nodes takes about log2(n) rounds
 
@@ -16,19 +16,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points neighbours at the least node of a neighbourhood, first upwards, then
     downwards; it ends when a round changes nothing. No row count ever exceeds that of the links,
-    least nodes come from partial sums, and each round's rows are written before the next.
+    least nodes come from partial sums, and each round's rows are written before the next. A node
+    with many neighbours is no task of its own: its least node is broadcast.
     """
     rows = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rows = materialize(rows, "links")
     mark = None
     for _ in range(MAX_ROUNDS):
         both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        up = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        up = joined(both, materialize(least, "least"), "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # up holds (larger, smaller) only: each node now points down.
-        least = up.groupBy("a").agg(F.min("b").alias("m"))
-        down = up.join(least, "a")
-        down = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        up = materialize(up, "up")
+        least = materialize(up.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        down = joined(up, least, "a", "n")
+        down = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         rows = materialize(down.distinct(), "links")
         now = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(now):

@@ -56,10 +56,48 @@ def test_simhash_small_tiles_find_the_same_groups(spark, docs_of):
     prints = printed.select(F.col("_fp").alias("fp")).distinct()
     from strokeloom.llm.graph import components
 
-    roots = {tile: {(r.node, r.root) for r in components(simhash.links(prints, 2, tile)).collect()} for tile in (2, 512)}
+    roots = {tile: {(r.node, r.root) for r in components(simhash.links(prints, 2, tile, chunk)).collect()} for tile, chunk in ((2, 6), (512, 16_384))}
     assert roots[2] == roots[512]
 
 
+def test_chunks_give_the_links_of_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    left = np.unique(np.concatenate([base, base ^ np.uint64(1 << 40), base ^ np.uint64(3)]))
+    right = np.unique(np.concatenate([base ^ np.uint64(5 << 20), base ^ np.uint64(1 << 63)]))
+
+    def groups(nodes, found):
+        root = {int(x): int(x) for x in nodes}
+        for _ in range(len(root)):
+            for a, b in found:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    def all_pairs(x, y):
+        return [(int(a), int(b)) for a in x for b in y if a != b and (int(a) ^ int(b)).bit_count() <= 2]
+
+    for x, y, same in ((left, left, True), (left, right, False)):
+        found = [(int(p), int(q)) for a, b in simhash.compare_chunks(x, y, 2, same, 7) for p, q in zip(a, b, strict=True)]
+        nodes = np.concatenate([x, y])
+        assert groups(nodes, found) == groups(nodes, all_pairs(x, y))
+
+
+def test_hot_keys_are_broadcast(spark, docs_of, monkeypatch):
+    from strokeloom.llm import common
+    from strokeloom.llm.graph import components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    star = [(k, 1000) for k in range(60)] + [(k, k + 1) for k in range(2000, 2006)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert all(found[k] == 0 for k in [*range(1, 60), 1000]) and all(found[k] == 2000 for k in range(2001, 2007))
+    rows = [(k, None) for k in range(50)] + [(100 + k, SENTENCE) for k in range(50)] + [(200 + k, f"{SENTENCE} {k}") for k in range(20)]
+    got = simhash.near_duplicates(docs_of(rows))
+    assert rows_of(got.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")), "component_id"), "*") == brute.simhash(rows)
+    assert simhash.near_duplicates(docs_of([])).count() == 0
+
+
 def test_simhash_query(spark, sf_dir):
     assert rows_of(QUERIES["op1_simhash_near_dedup"](spark, sf_dir), "doc_id", "fingerprint", "component_id") == brute.simhash(pairs(sf_dir))
 
