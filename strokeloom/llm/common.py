@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokeloom.shared import new_folder
+from strokeloom.shared import file_system, new_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -24,13 +24,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
     The result has no lineage beyond its files, so a lost executor costs no recomputation. The
-    folder goes when the driver's JVM ends.
+    folder goes at the end of the scratch it was made in, or else when the driver's JVM ends.
     """
     path = new_folder(df.sparkSession, name)
+    if SCRATCH:
+        SCRATCH[-1].append(path)
+    return _written(df, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """materialize, but the folder outlives the innermost scratch."""
+    path = new_folder(df.sparkSession, name)
+    if len(SCRATCH) > 1:
+        SCRATCH[-2].append(path)
+    return _written(df, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the steps under way, innermost last.
+SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized inside is deleted at the end; a result must leave by way of kept()."""
+    SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in SCRATCH.pop():
+            fs, at = file_system(spark, path)
+            fs.delete(at, True)
+
+
 HOT_SHARE = 1000  # a key with over 1 / HOT_SHARE of all rows, and over HOT_ROWS of them, is hot
 HOT_ROWS = 4096
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import joined, materialize
+from strokeloom.llm.common import joined, kept, materialize, scratch
 
 MAX_ROUNDS = 60  # a path of n nodes takes about log2(n) rounds
 
@@ -23,17 +23,22 @@ def components(links: DataFrame) -> DataFrame:
     rows = materialize(rows, "links")
     mark = None
     for _ in range(MAX_ROUNDS):
-        both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        up = joined(both, materialize(least, "least"), "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # up holds (larger, smaller) only: each node now points down.
-        up = materialize(up, "up")
-        least = materialize(up.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        down = joined(up, least, "a", "n")
-        down = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        rows = materialize(down.distinct(), "links")
+        with scratch(links.sparkSession):
+            rows = kept(_round(rows), "links")
         now = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
             return rows.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(now)
     raise RuntimeError("the components did not settle")
+
+
+def _round(rows: DataFrame) -> DataFrame:
+    both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    up = joined(both, materialize(least, "least"), "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    # up holds (larger, smaller) only: each node now points down.
+    up = materialize(up, "up")
+    least = materialize(up.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    down = joined(up, least, "a", "n")
+    down = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return down.distinct()

@@ -1,15 +1,22 @@
-"""Groups of texts that share word shingles: exact Jaccard similarity of 0.8 or more on five words.
-
-A text's set holds the XXH64 hashes of its five-word shingles. Two sets of similarity 0.8 share one
-of their first n - ceil(0.8 n) + 1 hashes in any common order (prefix filter), so only pairs that
-meet there, with sizes and places that leave room for 0.8, are candidates; nothing is lost. Common
-hashes, counted on one document in 16, stand last in the order, so they seldom bring pairs together.
-
-Candidates are verified on whole sets, in two rounds: each set with the least of each meeting, then
-only pairs of meetings that are not yet in one group, so a large group of near copies costs few pairs.
+"""Near-duplicates by SimHash with an exact check: Jaccard similarity of 0.8 or more on five words.
+
+A text's set holds the XXH64 hashes of its five-word shingles; the majority of their bits is its
+fingerprint. Tiled comparison (`simhash.links`) proposes links between fingerprints within RADIUS.
+Pairs of that similarity may lie up to some 14 bits apart, where tiles skip nothing, so an exact way
+finds the rest: two sets of similarity 0.8 share one of their first n - ceil(0.8 n) + 1 hashes in any
+common order (prefix filter), and only pairs that meet there, with sizes and places that leave room
+for 0.8, are candidates. Common hashes, counted on one document in 16, stand last in the order, so
+they seldom bring pairs together; the order is free, so nothing is lost.
+
+Every candidate is verified, first on a bitmap of a bit or more for each hash, in which a bit tells
+whether an odd number of hashes fell there: bits that differ between two sets are no more than
+hashes that differ. What passes is verified on whole sets. This goes in two rounds: each set with
+the least of each meeting, then only pairs of meetings that are not yet in one group, so a large
+group of near copies costs few pairs.
 
 Defined cases: texts without words are alike; a text of under five words is one shingle; equal sets
-are one node, named by a 64-bit digest.
+are one node, named by a 64-bit digest; an empty table gives no groups; rows that repeat, and null
+ids, are rows like others.
 """
 
 from __future__ import annotations
@@ -23,11 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import materialize
+from strokeloom.llm.common import joined, kept, materialize, scratch
 from strokeloom.llm.graph import components
+from strokeloom.llm.simhash import BLOCK, majority
+from strokeloom.llm.simhash import links as simhash_links
 
 SHINGLE = 5
 SEED = 42
+RADIUS = 3  # of the fingerprints that propose links
 SAMPLE = 16  # one document of so many tells which hashes are common
 COMMON = 4  # in so many documents of the sample
 MAX_COMMON = 200_000  # hashes sent to all tasks; the order is free, so this bounds memory and loses nothing
@@ -38,8 +48,22 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    joined = map(b" ".join, zip(*(islice(words, k, None) for k in range(min(shingle, len(words)))), strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(SEED)), np.uint64).view(np.int64))
+    each = map(b" ".join, zip(*(islice(words, k, None) for k in range(min(shingle, len(words)))), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, each, repeat(SEED)), np.uint64).view(np.int64))
+
+
+def odd_bits(found: np.ndarray) -> bytes:
+    """For each of n to 2 n cells (a power of two, 64 at least), whether an odd number of hashes fell there."""
+    cells = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
+    return np.packbits(np.bincount(found & (cells - 1), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def far_apart(one: bytes, two: bytes, n: int, m: int) -> bool:
+    """True only if sets of n and m hashes with these bits can't have a similarity of 0.8."""
+    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
+    while len(y) > len(x):  # cells of the smaller table are those of the larger one, laid upon each other
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum()) > n + m
 
 
 def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -52,10 +76,13 @@ def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return found[: n - (4 * n + 4) // 5 + 1]
 
 
+TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
 def _mapped(docs: DataFrame, keys: list[str], row, schema: str) -> DataFrame:
     """keys of docs and row(text) for each row; schema: of what row returns."""
     names = [part.split()[0] for part in schema.split(", ")]
-    types = [{"long": pa.int64(), "int": pa.int32()}.get(part.split()[1], pa.list_(pa.int64())) for part in schema.split(", ")]
+    types = [TYPES[part.split()[1]] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,21 +105,31 @@ def common_hashes(docs: DataFrame) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """docs: (_rank, _h1, _h2, text). Each row's keys, `set`, its size n and its prefix."""
+    """docs: (_rank, _h1, _h2, text). Each row's keys, `set`, its size n, its fingerprint, bits and prefix."""
     common = docs.sparkSession.sparkContext.broadcast(common_hashes(docs))
 
     def row(text: str | None):
         found = shingles(text)
-        return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63), len(found), prefix(found, common.value)
+        blocks = (found[at : at + BLOCK].view(np.uint64) for at in range(0, len(found), BLOCK))
+        return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63), len(found), majority(blocks), odd_bits(found), prefix(found, common.value)
 
-    return _mapped(docs, ["_rank", "_h1", "_h2"], row, "set long, n int, grams array<long>")
+    return _mapped(docs, ["_rank", "_h1", "_h2"], row, "set long, n int, fp long, odd binary, grams array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The pairs (a, b) of similarity 0.8 or more, counted on their whole sets."""
-    pairs = materialize(pairs.distinct(), "candidates")
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of similarity 0.8 or more: by their bits, then counted on their whole sets."""
+    side = lambda name: nodes.select(F.col("set").alias(name), F.struct("n", "odd").alias(f"of_{name}"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a.n", "of_a.odd", F.col("of_b.n").alias("m"), F.col("of_b.odd").alias("odd2"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, one, m, two = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [not far_apart(*x) for x in zip(one, two, n, m, strict=True)]
+            yield pa.RecordBatch.from_arrays(list(batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).columns), ["a", "b"])
+
+    pairs = materialize(both.mapInArrow(near, "a long, b long"), "candidates")
     asked = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    one = placed.join(asked, "set").groupBy("set").agg(F.min(F.struct("_rank", "_h1", "_h2")).alias("k")).select("set", "k.*")
+    one = nodes.select("set", "_rank", "_h1", "_h2").join(asked, "set")
     texts = docs.join(one, ["_rank", "_h1", "_h2"]).dropDuplicates(["set"])
     sets = materialize(_mapped(texts, ["set"], lambda t: (shingles(t),), "grams array<long>"), "sets")
     left, right = sets.select(F.col("set").alias("a"), F.col("grams").alias("left")), sets.select(F.col("set").alias("b"), F.col("grams").alias("right"))
@@ -100,24 +137,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, placed: DataFrame) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * (F.size("left") + F.size("right"))).select("a", "b")
 
 
+MAX_BROADCAST_GRAMS = 1 << 20  # of 16 bytes: hashes that several sets share; more are joined by a shuffle
+
+
+def _proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are alike, or within RADIUS by way of the tiles."""
+    prints = materialize(nodes.groupBy("fp").agg(F.min("set").alias("least"), F.max("set").alias("most")), "prints")
+    near = simhash_links(prints.select("fp"), RADIUS)
+    least = lambda name: prints.select(F.col("fp").alias(name), F.col("least").alias(f"of_{name}"))
+    linked = near.join(least("a"), "a").join(least("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    alike = nodes.join(prints.where("least <> most"), "fp").where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b"))
+    return linked.union(alike)
+
+
 def groups(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """docs as for with_sets, placed: its result, written. (set, root) of each set in a group of several."""
-    nodes = placed.dropDuplicates(["set"]).select("set", "n", F.posexplode("grams").alias("place", "gram"))
-    nodes = materialize(nodes, "prefixes")
-    often = nodes.groupBy("gram").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "set", "place")).alias("least")).where("met > 1")
-    meetings = materialize(nodes.join(often, "gram"), "meetings")
-    # The first hash that two sets share in the common order leaves room for 4/9 of both sizes.
-    room = lambda n, place, m, spot: (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - place, m - spot) >= 4 * (n + m))
     c = F.col
-    star = meetings.where((c("set") != c("least.set")) & room(c("n"), c("place"), c("least.n"), c("least.place")))
-    links = materialize(_verified(star.select(c("least.set").alias("a"), c("set").alias("b")), docs, placed), "verified")
-    roots = components(links).select(c("node").alias("set"), "root")
-    known = meetings.join(roots, "set", "left").select("gram", "set", "n", "place", F.coalesce("root", "set").alias("root"))
-    known = materialize(known, "known")
-    open_ = known.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gram")
-    open_ = materialize(known.join(open_, "gram", "left_semi"), "open")
-    other = open_.select("gram", *(c(k).alias(f"o_{k}") for k in ("set", "n", "place", "root")))
-    met = open_.join(other, "gram").where((c("set") < c("o_set")) & (c("root") != c("o_root")) & room(c("n"), c("place"), c("o_n"), c("o_place")))
-    tried = F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")
-    more = _verified(met.select(*tried), docs, placed)
-    return components(links.union(more)).select(c("node").alias("set"), "root")
+    with scratch(docs.sparkSession):
+        nodes = materialize(placed.dropDuplicates(["set"]), "nodes")
+        prefixes = nodes.select("set", "n", F.posexplode("grams").alias("place", "gram"))
+        often = prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+        often = materialize(often, "often")
+        if often.count() <= MAX_BROADCAST_GRAMS:
+            meetings = prefixes.join(F.broadcast(often.select("gram")), "gram", "left_semi")
+        else:
+            meetings = joined(prefixes, often, "gram", "met")
+        meetings = materialize(meetings, "meetings")
+        least = meetings.groupBy("gram").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "set", "place")).alias("least"))
+        # The first hash that two sets share in the common order leaves room for 4/9 of both sizes.
+        room = lambda n, place, m, spot: (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - place, m - spot) >= 4 * (n + m))
+        star = joined(meetings, materialize(least, "least"), "gram", "met")
+        star = star.where((c("set") != c("least.set")) & room(c("n"), c("place"), c("least.n"), c("least.place")))
+        star = star.select(c("least.set").alias("a"), c("set").alias("b"))
+        links = materialize(_verified(_proposed(nodes).union(star), docs, nodes), "verified")
+        roots = components(links).select(c("node").alias("set"), "root")
+        known = meetings.join(roots, "set", "left").select("gram", "set", "n", "place", F.coalesce("root", "set").alias("root"))
+        known = materialize(known, "known")
+        open_ = known.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("met")).where("x <> y").select("gram", "met")
+        open_ = materialize(joined(known, materialize(open_, "undecided"), "gram", "met"), "open")
+        other = open_.select("gram", *(c(k).alias(f"o_{k}") for k in ("set", "n", "place", "root")))
+        met = open_.join(other, "gram").where((c("set") < c("o_set")) & (c("root") != c("o_root")) & room(c("n"), c("place"), c("o_n"), c("o_place")))
+        tried = F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")
+        more = _verified(met.select(*tried), docs, nodes)
+        out = components(links.union(more)).select(c("node").alias("set"), "root")
+        return kept(out, "near")

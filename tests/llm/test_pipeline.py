@@ -1,8 +1,10 @@
 """The pipeline's stages, each on its own input."""
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
+from strokeloom.llm import jaccard
 from tests.llm import brute
 from tests.llm.conftest import SENTENCE
 
@@ -16,6 +18,12 @@ def test_stages_on_awkward_rows(spark, docs_of, awkward, sf_dir):
         assert out.columns == docs.columns, name
         assert out.count() > 0, name
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    odd = docs.withColumns({"a.b": F.lit(1), "m": F.create_map(F.lit("k"), F.col("doc_id")), "v": F.parse_json(F.lit('{"x": [1, null]}')), "b`t": F.array(F.lit("q")), "_h1": F.lit("h"), "_rest": F.lit(2), "_w1": F.lit(1)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf_dir)
+        assert [c for c in out.columns if c not in corpus_pipeline.ADDED] == [c for c in odd.columns if c not in corpus_pipeline.ADDED], name
+        assert sorted(r[0] or -1 for r in out.select("doc_id").collect()) == sorted(r[0] or -1 for r in stage(spark, docs, sf_dir).select("doc_id").collect()), name
+        assert {tuple(r) for r in out.selectExpr("`a.b`", "m is not null", "cast(v as string)", "`b``t`[0]").collect()} == {(1, True, '{"x":[1,null]}', "q")}
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == docs.count() and {"shard", "slot", "size"} <= set(last.columns)
 
@@ -49,6 +57,21 @@ def test_near_copies_on_five_words(spark, docs_of, sf_dir):
     assert 1 in least.values() and 2 not in least.values() and {6, 7, 8} <= set(least.values())
 
 
+def test_far_apart_bits_never_part_near_sets():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 63, 64, 65, 300, 3000):
+        a = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        assert not jaccard.far_apart(jaccard.odd_bits(a), jaccard.odd_bits(a), len(a), len(a))
+        for lost in (0.1, 0.19, 0.5):
+            b = np.unique(np.concatenate([a[int(len(a) * lost) :], rng.integers(-(1 << 63), (1 << 63) - 1, int(len(a) * lost / 8))]))
+            far = jaccard.far_apart(jaccard.odd_bits(a), jaccard.odd_bits(b), len(a), len(b))
+            shared = len(np.intersect1d(a, b))
+            if 9 * shared >= 4 * (len(a) + len(b)):
+                assert not far
+        c = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        assert n < 60 or jaccard.far_apart(jaccard.odd_bits(a), jaccard.odd_bits(c), len(a), len(c))
+
+
 def test_leaks_go_and_clean_documents_stay(spark, docs_of, sf_dir):
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
     docs = docs_of([(1, SENTENCE), (2, f"{SENTENCE} {item} {SENTENCE}"), (3, None), (2, item), (None, item), (None, SENTENCE)], True)
