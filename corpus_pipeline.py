@@ -4,18 +4,21 @@ dealt into shards.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of docs; the last adds `size`,
 `shard` and `slot` (they replace columns of these names). Stages keep null ids and texts, repeated
-rows and extra columns of any name; on an empty table each returns an empty table.
+rows and extra columns of any name and type, maps and variants too; on an empty table each returns
+an empty table. A document of an empty text, or of none, is one without words: near copies of it are
+the others without words.
 """
 
 from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strokeloom.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from strokeloom.llm.common import materialize
+from strokeloom.llm.common import kept, materialize, quoted, scratch
+from strokeloom.shared import new_folder
 
 LAST = (1 << 63) - 1
 
@@ -28,7 +31,7 @@ def _stage(run, added: tuple[str, ...] = ()):
     @wraps(run)
     def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         others = [c for c in docs.columns if c not in MAIN]
-        rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+        rest = F.struct(*quoted(others)) if others else F.struct(F.lit(0).alias("none"))
         out = run(spark, docs.select(*MAIN, rest.alias("_rest")), sf_dir)
         given = [F.col(c) if c in MAIN else F.col("_rest").getField(c).alias(c) for c in docs.columns if c not in added]
         return out.select(*given, *added)
@@ -36,6 +39,12 @@ def _stage(run, added: tuple[str, ...] = ()):
     return wrapped
 
 
+def _keyed(docs: DataFrame, one: str, two: str) -> DataFrame:
+    """docs and two digests of whole rows; the other columns count as JSON, as maps and variants have no hash."""
+    whole = (*MAIN, F.to_json("_rest"))
+    return docs.withColumns({one: F.xxhash64(*whole), two: F.xxhash64(F.lit(1), *whole)})
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score at or over their language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -46,17 +55,20 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (a similarity of 0.8 or more on five words):
-    the one of least id (null last), then of least digest."""
-    rank = F.coalesce("doc_id", F.lit(LAST))
-    keyed = docs.withColumns({"_rank": rank, "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    the one of least id (null last), then of least digests."""
+    keyed = _keyed(docs, "_w1", "_w2").withColumns({"_rank": F.coalesce("doc_id", F.lit(LAST)), "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
     texts = keyed.select("_rank", "_h1", "_h2", "text")
-    placed = materialize(jaccard.with_sets(texts), "shingles")
-    roots = jaccard.groups(texts, placed).withColumnRenamed("root", "_root")
-    named = placed.select("_rank", "_h1", "_h2", "set").join(roots, "set", "left").withColumn("_root", F.coalesce("_root", "set"))
-    kept = named.groupBy("_root").agg(F.min(F.struct("_rank", "_h1", "_h2")).alias("k")).select("k.*")
-    hits = keyed.join(kept, ["_rank", "_h1", "_h2"], "left_semi")
-    one = F.row_number().over(Window.partitionBy("_rank", "_h1", "_h2").orderBy(F.xxhash64(*docs.columns)))
-    return hits.withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    with scratch(spark):
+        placed = materialize(jaccard.with_sets(texts), "shingles")
+        roots = jaccard.groups(texts, placed)
+        # The first of each set, then of each group: partial sums, so that no group is a task of its own.
+        first = placed.groupBy("set").agg(F.min(F.struct("_rank", "_h1", "_h2")).alias("k"))
+        named = first.join(roots, "set", "left").withColumn("_root", F.coalesce("root", "set"))
+        chosen = kept(named.groupBy("_root").agg(F.min("k").alias("k")).select("k.*"), "chosen")
+    keys = ["_rank", "_h1", "_h2"]
+    hits = keyed.join(chosen, keys, "left_semi")
+    whole = hits.groupBy(*keys).agg(F.min(F.struct("_w1", "_w2")).alias("w")).select(*keys, "w.*")
+    return hits.join(whole, [*keys, "_w1", "_w2"], "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,24 +83,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's runs take words of it: never, once or twice."""
-    mixed = mixing.mix_sources(docs.withColumn("_all", F.struct(*docs.columns)), carry=("_all",))
-    runs = F.filter(F.array("first", "second"), lambda taken: taken > 0)
-    return mixed.select("_all", F.explode(runs)).select("_all.*")
+    keys = ["_w1", "_w2"]
+    keyed = _keyed(docs, *keys)
+    taken = [F.when(F.col(run) > 0, 1).otherwise(0) for run in ("first", "second")]
+    times = mixing.mix_sources(keyed, carry=tuple(keys)).groupBy(*keys).agg(F.sum(sum(taken[1:], taken[0])).alias("_times"))
+    # Rows alike in all columns are one row here, given back as often as the mix takes any of them.
+    one = keyed.dropDuplicates(keys).join(times.where("_times > 0"), keys)
+    return one.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
 
 
 ADDED = ("size", "shard", "slot")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its slot there. Placement works on digests; texts move once."""
+    """Every row, written to its shard, with its slot there."""
+    written = sharding.write_shards(sharding.placed_records(docs), new_folder(spark, "shards"))
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    keys = {"_h1": F.xxhash64(*docs.columns), "_h2": F.xxhash64(F.lit(1), *docs.columns)}
-    digest = docs.select(size.alias("size"), *(c.alias(k) for k, c in keys.items()))
-    placed = sharding.shard_documents(digest)
-    # Rows alike in all columns are one row here, joined to each of its places.
-    one = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(1)))
-    texts = docs.withColumns(keys).withColumn("_n", one).where("_n = 1")
-    return texts.join(placed, ["_h1", "_h2"]).select(*docs.columns, *ADDED)
+    return written.select(*docs.columns, size.alias("size"), "shard", "slot")
 
 
 STAGES = [
