@@ -67,14 +67,14 @@ owned AS (
   SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT doc_id) AS repositories FROM base GROUP BY value),
 spans AS (
   SELECT doc_id, k, kind, start, stop FROM base
-  UNION ALL SELECT DISTINCT doc_id, 3, 'live', stop - length(value), stop FROM base JOIN owned USING (value) WHERE owners <= 1),
+  UNION ALL SELECT DISTINCT doc_id, 3, 'live', stop - length(value), stop FROM base JOIN owned USING (value) WHERE owners <= 1 AND repositories <= 5),
 joined AS (
   SELECT doc_id, string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, k, stop) FILTER (WHERE k < 3) AS base,
     string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, k, stop) AS spans,
     count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, count(*) FILTER (WHERE k = 3) AS n_live
   FROM spans GROUP BY doc_id),
 owning AS (
-  SELECT doc_id, count(*) FILTER (WHERE owners > 1) AS n_copied, max(owners) AS max_owners, max(repositories) AS max_repositories
+  SELECT doc_id, count(*) FILTER (WHERE owners > 1 OR repositories > 5) AS n_copied, max(owners) AS max_owners, max(repositories) AS max_repositories
   FROM base JOIN owned USING (value) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(max_owners, 0) AS max_owners,

@@ -1,24 +1,27 @@
 """Secret scan with corpus-wide ownership frequency. DataFrame functions only.
 
-Every text is split by each pattern; the lengths of the pieces and of the matches give exact spans
-in code points, in one pass and linear time. The value of each kept span is hashed, and the hashes
-are aggregated over the corpus by distinct repositories and owners: a value that several owners
-hold is a copied example, one that a single owner holds is a live-looking credential, whose value
-gets a span of kind `live`.
+Every text is split by each pattern; running sums of the lengths of pieces and matches, by a window
+over a text's few pieces, give exact spans in code points in one pass over the text and linear time.
+The value of each kept span is hashed, and the hashes are aggregated over the corpus by distinct
+repositories and owners. A value that several owners hold, or that one owner holds in more than
+MAX_REPOSITORIES repositories, is widely copied: an example or a default. What is left is specific to
+an owner: a live-looking credential, whose value gets a span of kind `live`.
 
 Defined cases: a null or empty text has no spans; rows that repeat, also whole ones, stay rows of
-their own; a null owner or repository is one more owner or repository; extra columns pass by
-untouched and may bear any name.
+their own (of one repository); a null owner or repository is one more owner or repository; spans
+that start together stand in the order of kinds; a very long text costs time and memory in
+proportion to its matches; an empty table gives no rows; extra columns are not read and may bear
+any name.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import documents, materialize
+from strokeloom.llm.common import documents, joined, materialize, quoted
 
 # The patterns of the contract, in its order of kinds.
 PATTERNS = {
@@ -27,48 +30,22 @@ PATTERNS = {
     "hex": r"[0-9a-f]{24,}",
 }
 MIN_VALUE = 6  # characters of an assigned value
-MAX_OWNERS = 1  # a value with more owners is a copied example
+MAX_OWNERS = 1  # a value with more owners is widely copied
+MAX_REPOSITORIES = 5  # so is one in more repositories, whoever owns them
 #: Cheap tests that every text with a match passes.
 HINTS = {"assign": r"(?i)passw|secret|token|api", "access": "AKIA", "hex": r"[0-9a-f]{24}"}
 
 
-def _spans(text: Column, kind: str, order: int) -> Column:
-    """Array of (start, k, kind, end, value_start, value), by start."""
+def _pieces(text: Column, kind: str, order: int) -> Column:
+    """Array of (k, gap, whole, value): each match, with the length of the text between it and the one before."""
     pattern = PATTERNS[kind]
-    parts = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else whole
-    zero = F.struct(
-        F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"),
-    )
-    rows = F.arrays_zip(F.transform(parts, lambda p: F.char_length(p)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    # The last piece has no match after it.
-    rows = F.filter(rows, lambda r: r["whole"].isNotNull())
-
-    def step(acc: Column, r: Column) -> Column:
-        start = acc["at"] + r["gap"]
-        end = start + F.char_length(r["whole"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), r["value"].alias("value")))).alias("out"),
-        )
-
-    found = F.aggregate(rows, zero, step, lambda acc: acc["out"])
-    if kind == "assign":
-        found = F.filter(found, lambda r: F.char_length(r["value"]) >= MIN_VALUE)
-    shaped = F.transform(
-        found,
-        lambda r: F.struct(
-            r["start"].alias("start"),
-            F.lit(order).alias("k"),
-            F.lit(kind).alias("kind"),
-            r["end"].alias("end"),
-            (r["end"] - F.char_length(r["value"])).cast("long").alias("value_start"),
-            r["value"].alias("value"),
-        ),
-    )
-    none = F.array().cast("array<struct<start:bigint,k:int,kind:string,end:bigint,value_start:bigint,value:string>>")
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
+    rows = F.arrays_zip(gaps.alias("gap"), F.transform(whole, lambda w: F.char_length(w)).alias("whole"), value.alias("value"))
+    rows = F.filter(rows, lambda r: r["whole"].isNotNull())  # the last piece has no match after it
+    shaped = F.transform(rows, lambda r: F.struct(F.lit(order).alias("k"), r["gap"].alias("gap"), r["whole"].alias("whole"), r["value"].alias("value")))
+    none = F.array().cast("array<struct<k:int,gap:int,whole:int,value:string>>")
     return F.when(text.rlike(HINTS[kind]), shaped).otherwise(none)
 
 
@@ -78,60 +55,60 @@ def _joined(spans: Column) -> Column:
     )
 
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, with `_base`: its spans by start, then kind as PATTERNS has them."""
-    source = F.coalesce(F.col(text), F.lit(""))
-    parts = [_spans(source, kind, k) for k, kind in enumerate(PATTERNS)]
-    return docs.withColumn("_base", F.array_sort(reduce(F.concat, parts))).drop(text)
+def base_spans(rows: DataFrame) -> DataFrame:
+    """rows: (_row, ..., _pieces). One row per base span: rows' other columns, start, k, kind, end,
+    value_start, value."""
+    # A match's number is its place in its text and kind; places of one kind follow one another.
+    each = rows.select(*(c for c in rows.columns if c != "_pieces"), F.posexplode("_pieces").alias("_at", "p"))
+    upto = Window.partitionBy("_row", "p.k").orderBy("_at")
+    end = F.sum((F.col("p.gap") + F.col("p.whole")).cast("long")).over(upto)
+    length = F.char_length("p.value")
+    spans = each.withColumn("end", end).select(
+        *(c for c in rows.columns if c != "_pieces"), (F.col("end") - F.col("p.whole")).alias("start"), F.col("p.k").alias("k"),
+        F.element_at(F.array(*map(F.lit, PATTERNS)), F.col("p.k") + 1).alias("kind"), "end", (F.col("end") - length).alias("value_start"), F.col("p.value").alias("value"),
+    )
+    return spans.where((F.col("kind") != "assign") | (F.char_length("value") >= MIN_VALUE))
 
 
 def scan_secrets(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS
-) -> DataFrame:
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source",
+    max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
+) -> DataFrame:
     """One row per row of docs: doc_id, base spans and all spans, counts of live and copied values.
 
-    The first stage's spans, without texts, go to the shared folder with a row number, which later
-    stages group by. Ownership is counted in two steps, by (value, owner) and then by value, each
-    with partial sums before its shuffle, so a value that a third of all rows hold stays a few rows
-    per task.
+    The matches, without texts, go to the shared folder with a row number, which later stages group
+    by. Ownership is counted in two steps, by (value, owner) and then by value, each with partial
+    sums before its shuffle, so a value that a third of all rows hold stays a few rows per task.
     """
+    column = lambda c: quoted([c])[0]
+    source = F.coalesce(column(text), F.lit(""))
+    pieces = reduce(F.concat, [_pieces(source, kind, k) for k, kind in enumerate(PATTERNS)])
     own = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(repository).cast("string").alias("_repository"),
-        F.col(owner).cast("string").alias("_owner"),
-        F.col(text).alias("_text"),
-    )
-    # The key columns are made beside the spans; the row number is fixed by writing it.
-    rows = materialize(base_spans(own, "_text").withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    each = rows.where(F.size("_base") > 0).select("_row", "_repository", "_owner", F.explode("_base").alias("s"))
-    each = each.select("*", F.sha2(F.col("s.value"), 256).alias("_hash"))
-    by_repository = each.groupBy("_hash", "_owner", "_repository").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = by_repository.groupBy("_hash", "_owner").agg(F.count(F.lit(1)).alias("repositories"))
-    ownership = by_owner.groupBy("_hash").agg(
-        F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")
-    )
-    # Written, so that both sides of the join are plain shuffles, whose hot partitions AQE can split.
-    joined = each.join(materialize(ownership, "ownership"), "_hash")
-    live = F.col("owners") <= max_owners
-    added = F.struct(
-        F.col("s.value_start").alias("start"),
-        F.lit(len(PATTERNS)).alias("k"),
-        F.lit("live").alias("kind"),
-        F.col("s.end").alias("end"),
-    )
-    per_row = joined.groupBy("_row").agg(
-        F.collect_set(F.when(live, added)).alias("_live"),
+        column(doc_id).alias("doc_id"), column(repository).cast("string").alias("_repository"), column(owner).cast("string").alias("_owner"), pieces.alias("_pieces"),
+    )
+    # The row number is fixed by writing it.
+    rows = materialize(own.withColumn("_row", F.monotonically_increasing_id()), "secrets")
+    spans = base_spans(rows.where(F.size("_pieces") > 0).drop("doc_id")).withColumn("_hash", F.sha2("value", 256)).drop("value")
+    spans = materialize(spans, "spans")
+    by_repository = spans.groupBy("_hash", "_owner", "_repository").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = by_repository.groupBy("_hash", "_owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
+    ownership = by_owner.groupBy("_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+    held = joined(spans, materialize(ownership, "ownership"), "_hash", "n")
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    span = lambda start, k, kind: F.struct(start.alias("start"), k.alias("k"), kind.alias("kind"), F.col("end").alias("end"))
+    per_row = held.groupBy("_row").agg(
+        F.array_sort(F.collect_list(span(F.col("start"), F.col("k"), F.col("kind")))).alias("base"),
+        F.collect_set(F.when(live, span(F.col("value_start"), F.lit(len(PATTERNS)), F.lit("live")))).alias("_live"),
         F.sum(F.when(live, 0).otherwise(1)).alias("n_copied"),
         F.max("owners").alias("max_owners"),
         F.max("repositories").alias("max_repositories"),
     )
-    plain = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["kind"].alias("kind"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:bigint,k:int,kind:string,end:bigint>>")
-    return rows.join(per_row, "_row", "left").select(
+    return rows.select("_row", "doc_id").join(per_row, "_row", "left").select(
         "doc_id",
-        plain.alias("base"),
-        F.array_sort(F.concat(plain, F.coalesce("_live", none))).alias("spans"),
-        F.size(F.coalesce("_live", none)).cast("long").alias("n_live"),
+        F.coalesce("base", none).alias("base"),
+        F.coalesce(F.array_sort(F.concat("base", "_live")), none).alias("spans"),
+        F.coalesce(F.size("_live"), F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
         F.coalesce("max_owners", F.lit(0)).cast("long").alias("max_owners"),
         F.coalesce("max_repositories", F.lit(0)).cast("long").alias("max_repositories"),

@@ -70,13 +70,15 @@ def base_spans(text):
 def secrets(docs):
     """docs: [(doc_id, text, owner)] -> sorted (doc_id, base spans joined, all spans joined)."""
     owners: dict[str, set] = {}
-    for _, text, owner in docs:
+    repositories: dict[str, set] = {}
+    for doc, text, owner in docs:
         for s in base_spans(text):
             owners.setdefault(s[4], set()).add(owner)
+            repositories.setdefault(s[4], set()).add(doc)
     out = []
     for doc, text, _ in docs:
         base = base_spans(text)
-        live = {(s[3] - len(s[4]), 3, "live", s[3]) for s in base if len(owners[s[4]]) == 1}
+        live = {(s[3] - len(s[4]), 3, "live", s[3]) for s in base if len(owners[s[4]]) == 1 and len(repositories[s[4]]) <= 5}
         joined = lambda spans: ",".join(f"{s[2]}:{s[0]}:{s[3]}" for s in sorted(spans))
         out.append((doc, joined(base), joined({s[:4] for s in base} | live)))
     return sorted(out, key=str)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strokeloom.llm import decontaminate, mixing, secrets, sharding, simhash, substrings, suffixes, tokens
-from strokeloom.llm.queries import QUERIES
+from strokeloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm import brute
 from tests.llm.conftest import LONG, SENTENCE, rows_of
 
@@ -188,8 +188,9 @@ def test_mixing_position_inverts_the_schedule(spark):
 @pytest.mark.parametrize("extra", [False, True])
 def test_secrets_awkward(docs_of, awkward, extra):
     rows = [*awkward, (30, "secret:token :abcdefgh api-key='QWERTY' apikey  =  a.b.c-d"), (31, "AKIA" + "Z" * 15 + " AKIAAKIA" + "0" * 20), (32, "f" * 23 + "g" + "f" * 24)]
-    docs = docs_of(rows, True)
-    owners = [f"s{k % 4}" if k % 4 else None for k in range(len(rows))]
+    rows += [(500 + 4 * k, f"x token=onlyoneowner{k < 24} ü secret: many{k % 3}many") for k in range(30)] + [(700, "é token=abcdef;" * 300)]
+    docs = docs_of(rows, True).withColumn("source", F.when(F.col("doc_id") >= 500, "one").otherwise(F.col("source")))
+    owners = ["one" if (rows[k][0] or 0) >= 500 else f"s{k % 4}" if k % 4 else None for k in range(len(rows))]
     found = secrets.scan_secrets(docs if extra else docs.select("doc_id", "text", "source"))
     got = rows_of(found.select("doc_id", secrets._joined(F.col("base")), secrets._joined(F.col("spans"))), "*")
     assert got == brute.secrets([(i, t, o) for (i, t), o in zip(rows, owners, strict=True)])
@@ -202,6 +203,18 @@ def test_secrets_query(spark, sf_dir):
     assert got == sorted(((i, brute.sha(base), spans) for i, base, spans in exp), key=str)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql_twins(spark, sf_dir, name):
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    df, rel = QUERIES[name](spark, sf_dir), con.sql(ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(rel.columns) == columns
+    at = [rel.columns.index(c) for c in columns]
+    assert rows_of(df, *columns) == sorted((tuple(r[k] for k in at) for r in rel.fetchall()), key=str)
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_sharding(docs_of, awkward, extra):
     rows = awkward + [(7, "same")] * 500
