@@ -1,20 +1,22 @@
-"""Substring dedup by unit hashing.
+"""Substring dedup by line and paragraph hashing.
 
-Texts are cut into units of one kind: lines at sentence ends (`sentence`, the default), whole lines,
-or paragraphs; units of fewer words or letters than a bound stay. Or they are cut into all three
-(`nested`, as op9 does): paragraphs and lines of any length, and sentences inside lines, where the
-bound holds for a sentence or for a run of shorter sentences, which is one unit. A unit that lies in
-a removed one is not named again. A unit is normalised (lower case, white space collapsed) and hashed
-to 128 bits. Digests are grouped over the corpus, each kind by itself; the occurrence of least
-(doc_id, start) is kept, all others are removed; a kept paragraph or line may lose smaller units to
-earlier places. Offsets are those of the original text, in code points.
+Texts are cut into units: lines (the default) or paragraphs, of any length; or (`nested`, as op9 does)
+paragraphs, lines and, as an extension, sentences inside lines that stay. Of sentences only those of
+at least MIN_WORDS words and MIN_CHARS letters count, or runs of shorter ones, which are one unit. A
+unit that lies in a removed one is not named again. A unit is normalised (lower case, white space
+collapsed) and hashed to 128 bits. Digests are grouped over the corpus, each kind by itself; the
+occurrence of least (doc_id, start) is kept, all others are removed; a kept paragraph or line may
+lose smaller units to earlier places. Offsets are those of the original text, in code points.
 
 Only digests that occur more than once are joined back, so the join is as large as the repeats.
-Sums per digest are partial before their shuffle; the join back is split by AQE if a digest is hot.
-
-Defined cases: null and empty texts have no units; null ids rank last; rows alike in id and text
-are one document whose second and later copies lose all their units; empty tables
-give no rows; extra columns pass by untouched.
+Sums per digest are partial before their shuffle; digests that a large share of the units have are
+broadcast to them.
+
+Defined cases: null and empty texts, and lines without words, have no units; null ids rank last; rows
+of one id are in the order of their texts' hashes; rows alike in id and text are one document whose
+second and later copies lose all their units; a very long text is read once, in time in proportion to
+its length, and its units travel like others; empty tables give no rows; extra columns are not read
+by repeated_units and kept by remove_repeats, and may bear any name.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import documents, materialize
+from strokeloom.llm.common import documents, joined, materialize, quoted
 
 MIN_WORDS = 6
 MIN_CHARS = 40
@@ -42,7 +44,7 @@ LAST = (1 << 63) - 1
 SCHEMA = "doc_id long, h1 long, h2 long, level int, unit int, start int, end int, n_words int, d1 long, d2 long"
 
 
-def units_of(text: str | None, unit: str = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS):
+def units_of(text: str | None, unit: str = "line", min_words: int = 1, min_chars: int = 1):
     """(number, start, end, words, digest) of each unit of the least size."""
     for k, m in enumerate(UNITS[unit].finditer(text or "")):
         raw = m[0]
@@ -104,13 +106,14 @@ def nested_units(text: str | None, min_words: int = MIN_WORDS, min_chars: int =
 
 
 def _units(text: str | None, unit: str, min_words: int, min_chars: int):
-    """nested_units, or those of one kind in the same form."""
+    """nested_units, or those of one kind in the same form. The bounds are of sentences."""
     if unit == NESTED:
         return nested_units(text, min_words, min_chars)
-    return ((KINDS.index(unit), *u) for u in units_of(text, unit, min_words, min_chars))
+    bounds = (min_words, min_chars) if unit == "sentence" else (1, 1)
+    return ((KINDS.index(unit), *u) for u in units_of(text, unit, *bounds))
 
 
-def find_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+def find_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs: (doc_id, text). Units of the least size with two digests of their text and of themselves."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
 
@@ -134,14 +137,18 @@ def find_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WOR
 SCHEMA_NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
-def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per removed unit: doc_id, h1, h2, copy, level, unit, start, end, n_words, first_doc_id, first_start."""
     units = materialize(find_units(docs, unit, min_words, min_chars), "units")
     rank = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "h1", "h2", "start", "doc_id")
-    repeats = units.groupBy("level", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
-    # Written, so that both sides of the join are plain shuffles, whose hot partitions AQE can split.
+    repeats = units.groupBy("level", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1")
+    # A key of 64 bits for the join; both digests and the level are compared after it.
     repeats = materialize(repeats, "repeats")
-    hits = units.join(repeats, ["level", "d1", "d2"])
+    key = F.xxhash64("level", "d1", "d2")
+    keys = materialize(repeats.groupBy(key.alias("_key")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("level", "d1", "d2", "first")).alias("_of")), "keys")
+    hits = joined(units.withColumn("_key", key), keys, "_key", "n").withColumn("_hit", F.explode("_of"))
+    same_unit = [F.col(f"_hit.{c}") == F.col(c) for c in ("level", "d1", "d2")]
+    hits = hits.where(same_unit[0] & same_unit[1] & same_unit[2]).withColumn("first", F.col("_hit.first")).drop("_of", "_hit", "_key")
     # Rows alike in id and text have the same units: copy 1 keeps first occurrences, others nothing.
     same = hits.groupBy("doc_id", "h1", "h2", "level", "unit", "start", "end", "n_words", "first").agg(F.count(F.lit(1)).alias("copies"))
     each = same.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
@@ -157,30 +164,32 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     )
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", unit: str = "line", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the repeated units cut out of their texts and `removed`: the spans in the original."""
-    named = docs.select("doc_id", F.col(text).alias("text"))
+    column = quoted([text])[0]
+    named = docs.select("doc_id", column.alias("text"))
     gone = repeated_units(named, unit, min_words, min_chars).groupBy("doc_id", "h1", "h2", "copy").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     gone = gone.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("copy").alias("_copy"), "removed")
-    keys = {"_id": F.coalesce("doc_id", F.lit(LAST)), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)}
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(k) for k, c in keys.items()))
+    keys = {"_id": F.coalesce("doc_id", F.lit(LAST)), "_h1": F.xxhash64(column), "_h2": F.xxhash64(F.lit(1), column)}
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("_row"), *(c.alias(k) for k, c in keys.items()))
     copy = F.row_number().over(Window.partitionBy("_id", "_h1", "_h2").orderBy(F.lit(1))).cast("long")
-    joined = rows.withColumn("_copy", copy).join(gone, ["_id", "_h1", "_h2", "_copy"], "left").select("_row.*", "removed")
-    place = joined.schema.names.index(text)
+    own = [F.col("_row").getField(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
+    whole = rows.withColumn("_copy", copy).join(gone, ["_id", "_h1", "_h2", "_copy"], "left").select(*own, "removed")
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for whole, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for found, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if spans:
-                    ends = [0, *(x for s in spans for x in (s["start"], s["end"])), len(whole)]
-                    whole = "".join(whole[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                kept.append(whole)
+                    ends = [0, *(x for s in spans for x in (s["start"], s["end"])), len(found)]
+                    found = "".join(found[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+                kept.append(found)
             columns = [*batch.columns]
             columns[place] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return joined.mapInArrow(run, joined.schema)
+    return whole.mapInArrow(run, whole.schema).toDF(*docs.columns, "removed")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

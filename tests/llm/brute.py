@@ -181,3 +181,77 @@ def mix(docs, seed=20240607, slopes=(0.5, 0.0, -0.5)):
             out.append((doc if known else None, n, first + second, time(at) if first else None, time(at + sizes[source]) if second else None))
             at += n
     return sorted(out, key=str)
+
+
+def units(text):
+    """[(kind, start, end, normal text)] of op9: paragraphs, lines, and sentences inside lines."""
+    out, at, paragraph = [], 0, []
+    plain = lambda x: " ".join(x.lower().split())
+
+    def trimmed(start, end):
+        while start < end and text[start].isspace():
+            start += 1
+        while end > start and text[end - 1].isspace():
+            end -= 1
+        return start, end
+
+    def close():
+        if paragraph:
+            out.append(("paragraph", paragraph[0][0], paragraph[-1][1], " ".join(plain(text[s:e]) for s, e in paragraph)))
+            paragraph.clear()
+
+    text = text or ""
+    for line in text.split("\n"):
+        start, end = trimmed(at, at + len(line))
+        if start == end:
+            close()
+        else:
+            paragraph.append((start, end))
+            out.append(("line", start, end, plain(text[start:end])))
+            sentences, begun = [], at
+            for k in range(at, at + len(line)):
+                if text[k] in ".!?" and (k + 1 == at + len(line) or text[k + 1].isspace()):
+                    # A mark alone doesn't open a sentence and close it at once.
+                    if text[begun:k]:
+                        sentences.append(trimmed(begun, k + 1))
+                        begun = k + 1
+            sentences.append(trimmed(begun, at + len(line)))
+            sentences = [(s, e) for s, e in sentences if s < e]
+            run = []
+
+            def put(parts):
+                joined = " ".join(plain(text[s:e]) for s, e in parts)
+                if len(joined.split()) >= 6 and len(joined) >= 40:
+                    out.append(("sentence", parts[0][0], parts[-1][1], joined))
+                    return True
+                return False
+
+            for part in sentences:
+                words = plain(text[part[0] : part[1]])
+                if len(words.split()) >= 6 and len(words) >= 40:
+                    put(run)
+                    put([part])
+                    run = []
+                else:
+                    run.append(part)
+            put(run)
+        at += len(line) + 1
+    close()
+    return out
+
+
+def repeated_units(docs):
+    """docs: [(doc_id, text)] of distinct ids -> sorted (doc_id, kind, start, end, first_doc_id, first_start)."""
+    first, gone = {}, []
+    for doc, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        mine = []
+        for kind, start, end, plain in sorted(units(text), key=lambda u: u[1]):
+            at = first.setdefault((kind, plain), (doc, start))
+            if at != (doc, start):
+                mine.append((doc, kind, start, end, *at))
+        size = {"paragraph": 0, "line": 1, "sentence": 2}
+        for u in mine:
+            inside = [v for v in mine if v is not u and v[2] <= u[2] and u[3] <= v[3] and ((v[2], v[3]) != (u[2], u[3]) or size[v[1]] < size[u[1]])]
+            if not inside:
+                gone.append(u)
+    return sorted(gone, key=str)

@@ -316,7 +316,7 @@ def test_units_keep_offsets(unit):
 def test_repeated_units(docs_of, awkward):
     line = "This sentence has quite enough words to be looked at closely."
     rows = [*awkward, (40, f"a b.\n{line}"), (41, f"Before. {line.upper()} After."), (42, f"{line}  {line}"), (None, line), (43, f"x {line}")]
-    got = rows_of(substrings.repeated_units(docs_of(rows, True)).where("doc_id >= 40 or doc_id is null"), "doc_id", "start", "first_doc_id")
+    got = rows_of(substrings.repeated_units(docs_of(rows, True), "sentence").where("doc_id >= 40 or doc_id is null"), "doc_id", "start", "first_doc_id")
     assert [r for r in got if r[2] == 40] == [(41, 8, 40), (42, 0, 40), (42, len(line) + 2, 40), (None, 0, 40)]
     assert substrings.repeated_units(docs_of([])).count() == 0
 
@@ -324,11 +324,36 @@ def test_repeated_units(docs_of, awkward):
 def test_remove_repeats(docs_of, awkward):
     line = "This sentence has quite enough words to be looked at closely."
     rows = [(1, f"a. {line} Then."), (2, f"b. {line} Last."), (2, f"b. {line} Last."), (3, None), (None, line)]
-    out = substrings.remove_repeats(docs_of(rows))
+    out = substrings.remove_repeats(docs_of(rows), unit="sentence")
     assert rows_of(out, "doc_id", "text") == sorted([(1, f"a. {line} Then."), (2, "b.  Last."), (2, "b.  Last."), (3, None), (None, "")], key=str)
     assert substrings.remove_repeats(docs_of(awkward, True)).count() == len(awkward)
 
 
+def test_repeated_units_query(spark, sf_dir):
+    got = rows_of(QUERIES["op9_substring_dedup"](spark, sf_dir), "doc_id", "kind", "start", "end", "first_doc_id", "first_start")
+    assert got == brute.repeated_units(pairs(sf_dir))
+
+
+def test_repeated_units_of_awkward_texts(spark, tmp_path, docs_of, monkeypatch):
+    from strokeloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    line = "This sentence has quite enough words to be looked at closely."
+    rows = [(1, None), (2, ""), (3, " \n\t\n"), (4, f"{line}\n{line}\n\n{line}"), (5, f"a.\n{line} b. c!  {line}"), (None, f"{line}\n\n\nx"), (6, "é ü? " * 200), (7, "é ü? " * 200)]
+    rows += [(10 + k, f"{k}\nAll rights reserved.\n\n  {line.upper()}  \nend {k}!") for k in range(120)] + [(200, LONG), (201, f"{LONG}\n{SENTENCE}. {LONG}")]
+    docs_of(rows).withColumns({"a.b": F.lit(1), "level": F.lit("z")}).write.parquet(f"{tmp_path}/documents.parquet")
+    found = substrings.op9_substring_dedup(spark, str(tmp_path))
+    assert rows_of(found, "doc_id", "kind", "start", "end", "first_doc_id", "first_start") == brute.repeated_units(rows)
+
+
+def test_lines_of_any_length_by_default(docs_of):
+    rows = [(1, "a b\nOf.\nc"), (2, "Of.\nother\n\nA  B"), (3, "of. x")]
+    docs = docs_of(rows).withColumn("a.b", F.lit(1))
+    assert rows_of(substrings.repeated_units(docs), "doc_id", "start", "end", "first_doc_id") == [(2, 0, 3, 1), (2, 11, 15, 1)]
+    assert rows_of(substrings.remove_repeats(docs), "doc_id", "text") == [(1, "a b\nOf.\nc"), (2, "\nother\n\n"), (3, "of. x")]
+    assert rows_of(substrings.repeated_units(docs, "paragraph"), "doc_id") == []
+
+
 def test_repeated_lines_of_short_sentences(spark, tmp_path, docs_of, awkward):
     line, short = "This sentence has quite enough words to be looked at closely.", "Yes. No. We do. Who knows. Not me. Some day it ends. So be it. Good."
     rows = [
