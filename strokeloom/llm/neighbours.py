@@ -1,33 +1,45 @@
 """Approximate nearest neighbours by cosine, on robust-pruned directed graphs.
 
-Distinct vectors are dealt by hash into shards of bounded expected size. Each shard is one graph:
-points are inserted in batches, a greedy search from the entry point proposes their neighbours, and
-robust pruning keeps an edge only if no kept, nearer neighbour is closer to its target by the factor
-ALPHA. Edges back are added and pruned alike. A query's beam search runs on every shard; what the
-beams find is scored again in double precision on the original vectors, and the best of all shards
-are kept. Queries come in blocks, so a task holds one graph and one block.
+Distinct vectors are dealt by hash into shards of SHARD_BYTES. Each shard is one graph: points are
+inserted in batches, a greedy search from the entry point proposes their neighbours, and robust
+pruning keeps an edge only if no kept, nearer neighbour is closer to its target by the factor ALPHA.
+Edges back are added and pruned alike. A query's beam search runs on every shard; what the beams
+find is scored again in double precision on the original vectors, and the best of all shards are
+kept.
+
+Graphs never move once built: a task reads the shards that lie in its files, and queries come to it
+as one block, broadcast under a bound of PASS_BYTES; more queries are more passes. A task merges what
+its shards find, so k rows of a query leave a task, whatever the number of its shards.
 
 Equal vectors are one point that carries its k + 1 least ids: more of them can't be among the k
 nearest of any query. Every row is thus indexed.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no
 part; vectors of different length are never compared; rows alike in id and vector count once; a
-query meets no row of its own id; fewer candidates than k give fewer rows; extra columns are not read.
+query meets no row of its own id; equal scores stand in order of ids; fewer candidates than k give
+fewer rows, an empty table none; where norms overflow or vanish in double precision, vectors are
+scaled by their largest component first; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import materialize
+from strokeloom.llm.common import arrow_batches, materialize
 
 K = 5
 EVERY = 50
-SHARD_ROWS = 4096
-BLOCK_ROWS = 2048
+SHARD_BYTES = 32 << 20  # of a shard's vectors, as doubles; a graph adds a fifth
+LEAST_ROWS = 4096  # small tables are cut into shards of so many rows, up to LEAST_SHARDS of them
+LEAST_SHARDS = 16
+PASS_BYTES = 16 << 20  # of the query vectors that are broadcast at once
 DEGREE = 24
 BUILD_BEAM = 48
 SEARCH_BEAM = 128
@@ -151,22 +163,27 @@ def valid_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(finite).where(some).distinct()
 
 
-INDEX = "dim int, shard long, n int, ids array<array<bigint>>, vectors binary, graph binary, entry int"
+INDEX = "dim int, shard long, n int, ids binary, vectors binary, graph binary, entry int"
 
 
-def build_index(rows: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """rows of valid_vectors. One row per shard, written to the shared folder."""
+def build_index(rows: DataFrame, k: int = K, shard_bytes: int = SHARD_BYTES, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """rows of valid_vectors. One row per shard, written to the shared folder; ids holds k + 1 of each
+    point, -1 where it has fewer."""
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     points = ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     points = materialize(points.withColumn("dim", F.size("v")), "points")
-    shards = max(1, -(-points.count() // shard_rows))
+    n, held = points.agg(F.count(F.lit(1)), F.sum(F.col("dim").cast("long") * 8)).first()
+    shards = max(1, -(-(held or 0) // shard_bytes), min(LEAST_SHARDS, -(-n // least_rows)))
     placed = points.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(shards)))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(first=[x[0] for x in rows["ids"]]).sort_values("first", kind="stable")
         vectors = np.stack(rows["v"].to_list()).astype(np.float64)
+        ids = np.full((len(rows), k + 1), -1)
+        for at, x in enumerate(rows["ids"]):
+            ids[at, : len(x)] = x
         graph, entry = build_graph(unit(_scaled(vectors)))
-        row = (int(key[0]), int(key[1]), len(vectors), [x.tolist() for x in rows["ids"]], vectors.tobytes(), graph.tobytes(), entry)
+        row = (int(key[0]), int(key[1]), len(vectors), ids.tobytes(), vectors.tobytes(), graph.tobytes(), entry)
         return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX.split(", ")])
 
     return materialize(placed.groupBy("dim", "shard").applyInPandas(build, INDEX), "graphs")
@@ -177,46 +194,81 @@ def _scaled(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.abs(vectors).max(axis=1, keepdims=True)
 
 
+def cosines(asked: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """asked: b x d, near: b x c x d. Cosines of the vectors as they are; scaled ones only where a
+    square is beyond double precision."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        squares = np.einsum("bd,bd->b", asked, asked, optimize=False)[:, None], np.einsum("bcd,bcd->bc", near, near, optimize=False)
+        found = np.einsum("bd,bcd->bc", asked, near, optimize=False) / (np.sqrt(squares[0]) * np.sqrt(squares[1]))
+    bad = (squares[0] < 1e-290) | (squares[1] < 1e-290) | (squares[0] > 1e290) | (squares[1] > 1e290)
+    if bad.any():
+        i, j = np.nonzero(bad)
+        x, y = _scaled(asked[i]), _scaled(near[i, j])
+        found[i, j] = np.einsum("rd,rd->r", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+    return found
+
+
 FOUND = "query_id long, q long, vec_id long, score double"
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM, block_rows: int = BLOCK_ROWS) -> DataFrame:
+class Best:
+    """The k nearest found so far of each query of one length."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.found, self.scores = np.full((len(ids), k), -1), np.full((len(ids), k), -np.inf)
+
+    def search(self, ids: np.ndarray, raw: np.ndarray, graph: np.ndarray, entry: int, beam: int) -> None:
+        """Looks through one shard. ids: n x (k + 1), raw: its vectors."""
+        points = unit(_scaled(raw))
+        for at in range(0, len(self.ids), BATCH):
+            mine = slice(at, at + BATCH)
+            asked = self.vectors[mine]
+            near, _ = beam_search(unit(_scaled(asked)), points, graph, entry, beam)
+            near = near[:, :RESCORED]
+            scores = cosines(asked, raw[np.where(near < 0, 0, near)])
+            found = np.where(near[:, :, None] < 0, -1, ids[near])
+            found = np.where(found == self.ids[mine][:, None, None], -1, found).reshape(len(asked), -1)
+            scores = np.where(found < 0, -np.inf, np.repeat(scores, ids.shape[1], axis=1))
+            found, scores = np.hstack([self.found[mine], found]), np.hstack([self.scores[mine], scores])
+            first = np.lexsort((found, -scores), axis=1)[:, : self.k]
+            self.found[mine], self.scores[mine] = np.take_along_axis(found, first, 1), np.take_along_axis(scores, first, 1)
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """queries: (vec_id, v). (query_id, rank, vec_id, score) of the k best found."""
-    asked = materialize(queries.select("vec_id", "v", F.size("v").alias("dim")).withColumn("q", F.xxhash64("v")), "queries")
-    blocks = max(1, -(-asked.count() // block_rows))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)))
-    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    # A query meets every shard of its length; shards without one of its length have no graph.
-    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def search(key: tuple, graphs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(graphs) or not len(rows):
-            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []})
-        g = graphs.iloc[0]
-        n, dim = int(g["n"]), int(g["dim"])
-        raw = np.frombuffer(g["vectors"], np.float64).reshape(n, dim)
-        graph = np.frombuffer(g["graph"], np.int32).reshape(n + 1, -1)
-        scaled = _scaled(raw)
-        points, norms = unit(scaled), np.linalg.norm(scaled, axis=1)
-        out: list[tuple] = []
-        for at in range(0, len(rows), BATCH):
-            part = rows.iloc[at : at + BATCH]
-            asked = _scaled(np.stack(part["v"].to_list()).astype(np.float64))
-            ids, _ = beam_search(unit(asked), points, graph, int(g["entry"]), beam)
-            ids = ids[:, :RESCORED]
-            near = np.where(ids < 0, 0, ids)
-            dots = np.einsum("bd,bcd->bc", asked, scaled[near], optimize=False)
-            scores = dots / (np.linalg.norm(asked, axis=1)[:, None] * norms[near])
-            for query, q, found, score in zip(part["vec_id"], part["q"], ids.tolist(), scores.tolist(), strict=True):
-                hits = [(-s, int(v)) for p, s in zip(found, score, strict=True) if p >= 0 for v in g["ids"][p] if v != query]
-                out += [(query, q, v, -s) for s, v in sorted(hits)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score"])
-
-    key = ["dim", "shard", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, FOUND)
+    spark = queries.sparkSession
+    asked = materialize(queries.select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("q")), "queries")
+    held = asked.agg(F.sum(F.col("dim").cast("long") * 8 + 16)).first()[0] or 0
+    passes = -(-held // pass_bytes)
+    found = spark.createDataFrame([], FOUND)
+    for one in range(passes):
+        block = asked.where(F.pmod(F.xxhash64("vec_id", "q"), F.lit(passes)) == one).toArrow()
+        by_dim = {}
+        for dim in sorted(set(block["dim"].to_pylist())):
+            part = block.filter(pa.compute.equal(block["dim"], dim))
+            vectors = part["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            by_dim[dim] = (part["vec_id"].to_numpy(), part["q"].to_numpy(), vectors)
+        found = found.unionByName(_search_pass(index, spark.sparkContext.broadcast(by_dim), k, beam))
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with arrow_batches(spark, 1):  # a shard at a time
+        return materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+
+
+def _search_pass(index: DataFrame, asked, k: int, beam: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {dim: Best(ids, vectors, k) for dim, (ids, _, vectors) in asked.value.items()}
+        for batch in batches:
+            for dim, _, n, ids, vectors, graph, entry in zip(*(batch.column(c) for c in range(7)), strict=True):
+                if (mine := best.get(dim.as_py())) is not None:
+                    flat = lambda x, kind, n=n.as_py(): np.frombuffer(x.as_buffer(), kind).reshape(n, -1)
+                    mine.search(flat(ids, np.int64), flat(vectors, np.float64), np.frombuffer(graph.as_buffer(), np.int32).reshape(n.as_py() + 1, -1), entry.as_py(), beam)
+        for dim, mine in best.items():
+            some, place = np.nonzero(mine.found >= 0)
+            columns = (mine.ids[some], asked.value[dim][1][some], mine.found[some, place], mine.scores[some, place])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in FOUND.split(", ")])
+
+    return index.mapInArrow(run, FOUND)
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,9 @@ def test_recall_over_shards(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=24).astype(np.float32).tolist()) for k in range(1500)]
     valid = neighbours.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    index = neighbours.build_index(valid, shard_rows=400)
+    index = neighbours.build_index(valid, least_rows=400)
     assert index.count() >= 3 and index.agg(F.sum("n")).first()[0] == 1500
-    found = neighbours.search_index(index, valid.where("vec_id % 50 = 0"), block_rows=7).toPandas()
+    found = neighbours.search_index(index, valid.where("vec_id % 50 = 0"), pass_bytes=5 * 24 * 8).toPandas()
     exact = brute_neighbours(rows)
     hits = sum(len(set(exact[q]) & set(g["vec_id"])) for q, g in found.groupby("query_id"))
     assert hits / (5 * len(exact)) >= 0.95
@@ -48,6 +48,25 @@ def test_ties_copies_and_invalid_vectors(spark):
     assert neighbours.search_index(neighbours.build_index(empty), empty).count() == 0
 
 
+def test_query_finds_what_brute_force_finds(spark, sf_dir):
+    found = neighbours.op4_nearest_neighbours(spark, sf_dir).toPandas()
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    exact, vectors = brute_neighbours(rows), dict(rows)
+    assert set(found["query_id"]) == set(exact) and (found.groupby("query_id").size() == 5).all()
+    hits = sum(len(set(exact[q]) & set(g["vec_id"])) for q, g in found.groupby("query_id"))
+    assert hits / (5 * len(exact)) >= 0.95
+    for r in found.itertuples():
+        a, b = (np.array(vectors[x], float) for x in (r.query_id, r.vec_id))
+        assert r.score == pytest.approx(float(a @ b) / float(np.linalg.norm(a) * np.linalg.norm(b)), rel=1e-14)
+
+
+def test_cosines_of_huge_and_tiny_vectors():
+    a = np.array([[1e200, 1e200], [1e-200, 0.0], [3.0, 4.0]])
+    near = np.stack([[[1.0, 1.0], [1e-300, 0.0]]] * 3)
+    want = [[1.0, 0.5**0.5], [0.5**0.5, 1.0], [7 / (5 * 2**0.5), 0.6]]
+    assert neighbours.cosines(a, near) == pytest.approx(np.array(want))
+
+
 def test_graph_edges_are_diverse():
     rng = np.random.default_rng(1)
     points = neighbours.unit(rng.normal(size=(300, 8)))
