@@ -59,15 +59,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in SCRATCH.pop():
             fs, at = file_system(spark, path)
             fs.delete(at, True)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Gives up the shuffle files of steps that are over: Spark deletes those that no plan refers to
+    once the driver's JVM has collected its garbage."""
+    spark.sparkContext._jvm.System.gc()
 
 
 HOT_SHARE = 1000  # a key with over 1 / HOT_SHARE of all rows, and over HOT_ROWS of them, is hot
 HOT_ROWS = 4096
 
 
-def joined(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """rows with what table, which was written, says of their key; table has a key once, and in weight
-    how many of the rows have it.
+def joined(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str) -> DataFrame:
+    """rows with what table, which was written, says of their key (a column or several); table has a
+    key once, and in weight how many of the rows have it.
 
     Hot keys, of which there can't be more than HOT_SHARE, are broadcast; only the others are
     shuffled, so that no task gets more than HOT_ROWS or its share of the rows by one key.
@@ -78,7 +85,8 @@ def joined(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     if (most or 0) <= least:
         return rows.join(plain, key)
     hot = F.broadcast(table.where(F.col(weight) > least).drop(weight))
-    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(weight) <= least).drop(weight), key)
+    keys = [key] if isinstance(key, str) else key
+    cold = rows.join(hot.select(*keys), key, "left_anti").join(table.where(F.col(weight) <= least).drop(weight), key)
     return rows.join(hot, key).unionByName(cold)
 
 

@@ -7,22 +7,28 @@ no loss:
 1. In every window of THRESHOLD bytes the least hashed GRAM (the leftmost, on ties) is its anchor,
    a function of the window's bytes. Consecutive windows with one anchor are a run. Equal windows
    have equal anchors at the same offset, so a window whose anchor's gram occurs in one run is new.
-2. Runs alike in all their bytes and in the anchor's place are a class: all but the earliest run
-   repeat wholly. Tasks keep only the earliest run of a class among the rows of one batch for this;
-   the others are known to repeat and are dealt out evenly, so that a passage in a third of all
-   texts is a few rows a task.
-3. What is left are the earliest runs of classes that share a gram with another class. Their
-   positions are ranked by prefix doubling: Spark sorts the pairs (rank of the first half, name of
-   the second half) at offsets 25 and 50; after each round positions get the least position of their
-   pair as rank, and positions that are alone drop out. After THRESHOLD bytes, all but the least
-   position of a rank repeat.
-
-The names of blocks are 64-bit hashes; a position's rank rests on the gram's hash and three of them.
+2. Runs alike in all their bytes and in the anchor's place are a class, ranked by place: all but the
+   earliest repeat wholly. Tasks keep only the earliest run of a class among the rows of one batch for
+   this; the others are known to repeat and are dealt out evenly. Runs of a gram that is frequent
+   within a batch are dealt by their whole class, and count as doubtful, so that a passage in a third
+   of all texts is a few rows a task.
+3. What is left are the earliest runs of classes that share a gram with another class. The windows of
+   a run whose anchors lie at like offsets (GRID of them) share a region; if no other run has the
+   region, none of them repeats.
+
+The windows that remain, about 2 % of all positions, are ranked by prefix doubling. A position's
+first rank is the hash of its GRAM; then Spark groups the pairs (rank at p, rank at p + h) at growing
+offsets h, and the least position of a pair becomes its rank over twice the length, until THRESHOLD
+bytes are ranked (the last offset is clipped). Positions alone with their pair drop out after each
+round. In the end all but the least position of a rank repeat. Pairs that very many positions have
+are summed partially and broadcast back.
+
+First ranks and the names of runs and regions are 64-bit hashes.
 
 Defined cases: a null text is empty; texts under THRESHOLD bytes stay whole; null ids rank last;
 rows of one id are in the order of their texts' hashes; rows alike in id and text are copies, of
-which the first is judged and the others repeat it wholly; tables may be empty; extra columns are
-not read.
+which the first is judged and the others repeat it wholly; a very long text is cut in segments, and
+its spans are merged run by run; tables may be empty; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,11 +43,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import arrow_batches, documents, materialize
+from strokeloom.llm.common import arrow_batches, documents, joined, materialize, release
 
 THRESHOLD = 100
 GRAM = 32  # a power of two
-TEXTS = 1024  # texts that move to Python at once
+GRID = 9  # offsets of a region
+TEXTS = 512  # texts that move to Python at once
+HOT_RUNS = 4  # of one gram in a batch; more are dealt by their class
 SEGMENT = 1 << 22  # window starts of a long text handled at once
 LAST = (1 << 63) - 1
 _BYTES = np.random.default_rng(20240601).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -76,11 +84,13 @@ def anchor_runs(data: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM)
     return hashes[anchors].view(np.int64), first, np.diff(np.append(first, len(at))), anchors - first
 
 
-RUNS = "k long, ctx long, doc_id long, h1 long, st int, n int, o int, dup boolean"
+RUNS = "k long, ctx long, doc_id long, h1 long, st int, n int, o int, dup boolean, hot boolean"
 
 
 def find_runs(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Runs of all texts. k: the gram's hash, or a number dealt at random for runs known to repeat."""
+    """Runs of all texts. k is what they are dealt by: the gram's hash, that of gram and class for a
+    gram that is hot in its batch, or a number at random for runs known to repeat. A row without
+    windows (n = 0) tells those who look up a hot gram by itself that it has more classes."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.col("text").cast("binary").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +105,14 @@ def find_runs(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             for base in range(0, len(raw) - threshold + 1, SEGMENT):
                 piece = raw[base : base + SEGMENT + threshold - 1]
                 k, first, n, o = anchor_runs(np.frombuffer(piece, np.uint8), threshold)
-                contexts += [digest(piece[s : s + c + threshold - 1], p) for s, c, p in zip(first.tolist(), n.tolist(), o.tolist(), strict=True)]
+                each = (digest(piece[s : s + c + threshold - 1], p) for s, c, p in zip(first.tolist(), n.tolist(), o.tolist(), strict=True))
+                contexts.append(np.fromiter(each, np.uint64, len(k)))
                 parts.append((k, first + base, n, o))
                 rows.append(np.full(len(k), row))
         if not parts:
             return
         k, st, n, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-        row, ctx = np.concatenate(rows), np.array(contexts, np.uint64).view(np.int64)
+        row, ctx = np.concatenate(rows), np.concatenate(contexts).view(np.int64)
         ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)[row]
         h1 = batch.column(1).to_numpy(zero_copy_only=False)[row]
         order = np.lexsort((st, h1, ids, ctx, k))
@@ -112,13 +123,23 @@ def find_runs(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         with np.errstate(over="ignore"):
             dealt = (k.view(np.uint64) * _MIX[1]) ^ (ids.view(np.uint64) * _MIX[0]) ^ (st.astype(np.uint64) * _MIX[1] * _MIX[0])
             dealt = (dealt ^ (dealt >> np.uint64(31))) * _MIX[0]
+            by_class = ((k.view(np.uint64) * _MIX[0]) ^ ctx.view(np.uint64)) * _MIX[1]
         same = np.zeros(len(k), bool)
         i, s, h = ids[order], st[order], h1[order]
         leader = np.maximum.accumulate(np.where(repeats[order], 0, np.arange(len(k))))
         same[order] = (i == i[leader]) & (s == s[leader]) & (h == h[leader])
         dup = repeats & ~same
-        key = np.where(dup, dealt.view(np.int64), k)
-        columns = [pa.array(key), pa.array(ctx), batch.column(0).take(pa.array(row)), pa.array(h1), *(pa.array(x.astype(np.int32)) for x in (st, n, o)), pa.array(dup)]
+        grams, place, many = np.unique(k, return_inverse=True, return_counts=True)
+        firsts = np.bincount(place[~repeats], minlength=len(grams))
+        hot = (firsts > HOT_RUNS)[place] & ~dup
+        key = np.where(dup, dealt.view(np.int64), np.where(hot, by_class.view(np.int64), k))
+        told = grams[firsts > HOT_RUNS]
+        none, zeros = np.zeros(len(told), bool), np.zeros(len(told), np.int32)
+        longs = [np.concatenate(x) for x in ((key, told), (ctx, ~told))]
+        ints = [np.concatenate([x.astype(np.int32), zeros]) for x in (st, n, o)]
+        flags = [np.concatenate([x, none]) for x in (dup, hot)]
+        whose = pa.array(np.concatenate([row, zeros]))
+        columns = [*map(pa.array, longs), batch.column(0).take(whose), batch.column(1).take(whose), *map(pa.array, ints), *map(pa.array, flags)]
         yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RUNS.split(", ")])
 
     return keyed.mapInArrow(run, RUNS)
@@ -144,51 +165,133 @@ def _join_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return texts.join(right, ["rank", "h1"], how)
 
 
-def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs: (doc_id, text). (doc_id, h1, spans): overlapping spans (st, en) of bytes to remove."""
+SHIFT = 7  # a run has fewer than 1 << SHIFT bytes that a rank starts at
+
+
+def doubtful_runs(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(runs that repeat wholly: doc_id, h1, st, n; earliest runs of classes that share a gram:
+    run, doc_id, h1, st, n, o). `run` numbers rise with (doc_id, h1, st), null ids last."""
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "h1", F.col("st").alias("at"))
     classes, grams = Window.partitionBy("k", "ctx"), Window.partitionBy("k")
     runs = find_runs(docs, threshold).repartition("k")
-    runs = runs.withColumn("least", F.min(place).over(classes)).withColumn("several", F.min("ctx").over(grams) != F.max("ctx").over(grams))
-    repeats = F.col("dup") | (F.col("least") != place)
-    marked = runs.withColumn("gone", repeats).where(F.col("gone") | F.col("several"))
-    marked = marked.select("doc_id", "h1", "st", "n", F.when(~F.col("gone"), F.col("k")).alias("k"), F.when(~F.col("gone"), F.col("o")).alias("o"), "gone")
+    runs = runs.withColumn("least", F.min(place).over(classes)).withColumn("several", F.col("hot") | (F.min("ctx").over(grams) != F.max("ctx").over(grams)))
+    runs = runs.where("n > 0").withColumn("gone", F.col("dup") | (F.col("least") != place)).where(F.col("gone") | F.col("several"))
     with arrow_batches(docs.sparkSession, TEXTS):
-        marks = materialize(marked, "runs")
+        marks = materialize(runs.select("doc_id", "h1", "st", "n", F.when(~F.col("gone"), F.col("o")).alias("o"), "gone"), "runs")
+    release(docs.sparkSession)
+    ordered = [F.coalesce("doc_id", F.lit(LAST)), F.col("h1"), F.col("st")]
+    doubt = marks.where(~F.col("gone")).drop("gone").distinct().repartitionByRange(*ordered).sortWithinPartitions(*ordered)
+    return marks.where("gone").drop("gone", "o"), materialize(doubt.withColumn("run", F.monotonically_increasing_id()), "doubt")
+
 
-    doubt = marks.where(~F.col("gone")).distinct().groupBy("doc_id", "h1").agg(F.collect_list(F.struct("k", "st", "n", "o")).alias("runs"))
+def with_bytes(docs: DataFrame, doubt: DataFrame, threshold: int) -> DataFrame:
+    """(run, n, o, data): the bytes of all windows of each run."""
+    lists = doubt.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("run", "st", "n", "o")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = []
-                for i, h, z, runs in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "h1", "z", "runs")), strict=True):
-                    data = unpack(z)
-                    out += [(r["k"], i, h, r["st"], r["n"], r["o"], data[r["st"] : r["st"] + r["n"] + threshold - 1]) for r in runs]
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                arrays = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["k", "doc_id", "h1", "st", "n", "o", "data"])
-
-    material = _join_texts(docs, doubt, "inner").select("doc_id", "h1", "z", "runs").mapInArrow(cut, "k long, doc_id long, h1 long, st int, n int, o int, data binary")
-    first = -(-threshold // 4)
-    blocks = [(0, first)]
-    while (end := sum(blocks[-1])) < threshold:
-        blocks.append((end, min(end, threshold - end)))  # each round doubles the prefix
-    window = lambda i: F.struct(
-        (F.col("o") - i).alias("off"), (F.col("st") + i).alias("p"),
-        *(F.xxhash64(F.substring("data", i + 1 + at, F.lit(size))).alias(f"b{k}") for k, (at, size) in enumerate(blocks)),
-    )
-    ranked = material.repartition("k").select("k", "doc_id", "h1", F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), window)))
-    mine = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "h1", F.col("p").alias("at"))
-    ranked = ranked.withColumn("mine", mine).withColumn("rank", F.lit(0))
-    for k in range(len(blocks)):
-        pair = Window.partitionBy("k", "off", "rank", f"b{k}")
-        ranked = ranked.withColumn("least", F.min("mine").over(pair)).withColumn("most", F.max("mine").over(pair))
-        ranked = ranked.where("least <> most").drop("rank", "most").withColumnRenamed("least", "rank")
-    windows = ranked.where("mine <> rank").select("doc_id", "h1", F.col("p").alias("st"), (F.col("p") + threshold).alias("en"))
-    whole = marks.where("gone").select("doc_id", "h1", "st", (F.col("st") + F.col("n") + threshold - 1).alias("en"))
+            for z, runs in zip(batch.column(0), batch.column(1), strict=True):
+                data, runs = unpack(z.as_py()), runs.as_py()
+                for at in range(0, len(runs), 8192):
+                    part = runs[at : at + 8192]
+                    columns = [pa.array([r[c] for r in part], t) for c, t in (("run", pa.int64()), ("n", pa.int32()), ("o", pa.int32()))]
+                    pieces = pa.array([data[r["st"] : r["st"] + r["n"] + threshold - 1] for r in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*columns, pieces], ["run", "n", "o", "data"])
+
+    return _join_texts(docs, lists, "inner").select("z", "runs").mapInArrow(cut, "run long, n int, o int, data binary")
+
+
+def with_shared_regions(slices: DataFrame, threshold: int, gram: int = GRAM) -> DataFrame:
+    """slices, written, and `mask`: a bit for each GRID of offsets whose region another run has, too."""
+    c = F.col
+    last = threshold - gram
+    each = slices.select("run", "n", "o", "data", F.explode(F.sequence(F.lit(0), F.lit(last // GRID))).alias("j"))
+    low, high = c("j") * GRID, F.least((c("j") + 1) * GRID - 1, F.lit(last))
+    within = (F.greatest(low, c("o") - c("n") + 1) <= F.least(high, c("o"))) & (low <= c("o"))
+    regions = each.where(within).select("run", "j", F.xxhash64("j", F.substring("data", c("o") - low + 1, low + threshold - high)).alias("region"))
+    regions = materialize(regions, "regions")
+    shared = materialize(regions.groupBy("region").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "shared")
+    alive = joined(regions, shared, "region", "met").groupBy("run").agg(F.sum(F.expr("shiftleft(1, j)")).cast("int").alias("mask"))
+    return slices.join(alive, "run")
+
+
+def first_ranks(slices: DataFrame, threshold: int, gram: int = GRAM) -> DataFrame:
+    """(p, a, b, starts, halves): positions that doubling looks at, p in the order of places, with the
+    first ranks at p and p + gram. starts: a window starts there; halves: one starts `tail` before."""
+    tail = threshold - 2 * gram  # the second round's offset
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, n, o, mask = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("run", "n", "o", "mask"))
+            pieces = batch.column(batch.schema.get_field_index("data"))
+            data = b"".join(x.as_py() for x in pieces)
+            size = n + threshold - 1
+            base = np.cumsum(size) - size
+            names = gram_hashes(np.frombuffer(data, np.uint8), gram).view(np.int64)
+            who = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+            alive = (mask[who] >> ((o[who] - i) // GRID)) & 1 > 0
+            who, i = who[alive], i[alive]
+            at = np.concatenate([who * (1 << SHIFT) + i, who * (1 << SHIFT) + i + tail])
+            at, place = np.unique(at, return_inverse=True)
+            starts, halves = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            starts[place[: len(i)]], halves[place[len(i) :]] = True, True
+            who, i = at >> SHIFT, at & ((1 << SHIFT) - 1)
+            spot = base[who] + i
+            columns = (ids[who] * (1 << SHIFT) + i, names[spot], names[spot + gram], starts, halves)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["p", "a", "b", "starts", "halves"])
+
+    return slices.select("run", "n", "o", "mask", "data").mapInArrow(run, "p long, a long, b long, starts boolean, halves boolean")
+
+
+def reranked(pairs: DataFrame, name: str) -> DataFrame:
+    """pairs: (p, a, b, ...). Those that are not alone with (a, b), and `rank`: the pair's least p."""
+    ranks = pairs.groupBy("a", "b").agg(F.min("p").alias("rank"), F.count(F.lit(1)).alias("met")).where("met > 1")
+    return joined(pairs, materialize(ranks, name), ["a", "b"], "met").drop("a", "b")
+
+
+def repeated_windows(slices: DataFrame, threshold: int, gram: int = GRAM) -> DataFrame:
+    """slices: of with_shared_regions, written. (run, spans): the windows that start earlier as well, as
+    spans (st, en) of window starts in the run, both inclusive."""
+    tail = threshold - 2 * gram
+    if not 0 <= tail <= 2 * gram or threshold - gram + tail >= 1 << SHIFT:
+        raise ValueError("two rounds rank 2 * gram to 4 * gram bytes")
+    halves = reranked(first_ranks(slices, threshold, gram), "ranks")
+    # A window is the pair of the ranks at its start and `tail` after it; together they span it.
+    sides = F.array(
+        F.when(F.col("starts"), F.struct("p", F.col("rank").alias("a"), F.lit(None).cast("long").alias("b"))),
+        F.when(F.col("halves"), F.struct((F.col("p") - tail).alias("p"), F.lit(None).cast("long").alias("a"), F.col("rank").alias("b"))),
+    )
+    each = halves.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s")).select("s.*")
+    pairs = each.groupBy("p").agg(F.max("a").alias("a"), F.max("b").alias("b")).where("a is not null and b is not null")
+    pairs = materialize(pairs, "pairs")
+    release(slices.sparkSession)
+    found = reranked(pairs, "windows").where("p <> rank")
+    low = (1 << SHIFT) - 1
+    each = found.groupBy(F.shiftright("p", SHIFT).alias("run")).agg(F.sort_array(F.collect_list(F.col("p").bitwiseAND(F.lit(low)).cast("int"))).alias("at"))
+    edges = lambda step: F.filter("at", lambda x: ~F.array_contains("at", x + step))
+    return each.select("run", F.arrays_zip(edges(-1).alias("st"), edges(1).alias("en")).alias("spans"))
+
+
+def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """docs: (doc_id, text). (doc_id, h1, spans): overlapping spans (st, en) of bytes to remove."""
+    spark = docs.sparkSession
+    gone, doubt = doubtful_runs(docs, threshold)
+    release(spark)
+    with arrow_batches(spark, TEXTS):
+        slices = materialize(with_bytes(docs, doubt, threshold), "slices")
+    release(spark)
+    slices = materialize(with_shared_regions(slices, threshold), "regions")
+    release(spark)
+    with arrow_batches(spark, 16 * TEXTS):
+        found = materialize(repeated_windows(slices, threshold), "repeated")
+    release(spark)
+    each = doubt.join(found, "run").select("doc_id", "h1", F.col("st").alias("from"), F.inline("spans"))
+    windows = each.select("doc_id", "h1", (F.col("from") + F.col("st")).alias("st"), (F.col("from") + F.col("en") + threshold).alias("en"))
+    whole = gone.select("doc_id", "h1", "st", (F.col("st") + F.col("n") + threshold - 1).alias("en"))
     return whole.unionByName(windows).groupBy("doc_id", "h1").agg(F.collect_list(F.struct("st", "en")).alias("spans"))
 
 

@@ -119,6 +119,29 @@ def test_substrings_awkward(docs_of, awkward, extra):
     assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.substrings(rows)
 
 
+@pytest.mark.parametrize("texts", [suffixes.TEXTS, 16])
+def test_substrings_shared_by_many(docs_of, monkeypatch, texts):
+    """A passage, and parts of it, in many contexts: hot grams, edges at any offset, texts that repeat themselves."""
+    import random
+
+    monkeypatch.setattr(suffixes, "TEXTS", texts)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = LONG[:260]
+    rows = []
+    for k in range(150):
+        cut = rng.randrange(0, 140)
+        rows.append((k, noise(rng.randrange(0, 150)) + passage[cut : cut + rng.randrange(90, 260)] + noise(rng.randrange(0, 150))))
+    rows += [(1000, passage * 9), (1001, "x" + passage * 5 + noise(7) + passage[50:]), (1002, ("é" + passage[:70]) * 12), (1003, LONG * 3)]
+    found = suffixes.dedup_substrings(docs_of(rows))
+    assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.substrings(rows)
+
+
+def test_ranks_drop_what_is_alone(spark):
+    rows = spark.createDataFrame([(5, 1, 1), (3, 1, 1), (9, 1, 2), (7, 2, 2), (8, 2, 2)], "p long, a long, b long")
+    assert rows_of(suffixes.reranked(rows, "ranks"), "p", "rank") == [(3, 3), (5, 3), (7, 7), (8, 7)]
+
+
 def test_substrings_copies_and_empty(docs_of):
     twice = [(1, LONG[:300]), (1, LONG[:300]), (None, LONG[:300]), (2, "short"), (2, "short")]
     got = rows_of(suffixes.dedup_substrings(docs_of(twice), keep_bytes=True), "doc_id", "n_removed", "n_spans", "kept")
