@@ -16,6 +16,7 @@ SKELETON = (
 FEATURES = ("delta_p", "delta_q", "sin_alpha", "cos_alpha", "sin_beta", "cos_beta", "same_stroke", "diff_stroke")
 CODECS = ("video/mp4;codecs=avc1.42E01E", "video/mp4", "video/webm;codecs=vp9", "video/webm;codecs=vp8", "video/webm")
 DRAW, ERASE, PEN_UP = "Draw", "Erase", "Pen up"
+SAVE, CLEAR, SAVED, FAILED = "save", "clear", "save_ok", "save_failed"
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,7 @@ class CaptureRules:
     min_points: int = 10
     cooldown_us: int = 1_400_000
     save_latency_us: int = 0
+    save_timeout_us: int = 60_000_000  # an outcome that comes later is a failure
     frame_w: int = 640
     frame_h: int = 480
     brush: float = 9.0
@@ -46,4 +48,4 @@ class IngestRules:
 
 
 #: The event tables have hours between a user's rows, so pauses and caps are scaled.
-SURROGATE = CaptureRules(pause_us=12 * 3600 * 1_000_000, cap_us=5 * 86400 * 1_000_000, cooldown_us=6 * 3600 * 1_000_000)
+SURROGATE = CaptureRules(pause_us=12 * 3600 * 1_000_000, cap_us=5 * 86400 * 1_000_000, cooldown_us=6 * 3600 * 1_000_000, save_timeout_us=18 * 3600 * 1_000_000)

@@ -82,6 +82,15 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_controls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(frames, controls) of the events: errors are controls by their id, but for one in five, which
+    stays a frame without pen."""
+    frames = event_frames(spark, sf_dir).withColumn("seq", F.col("event_id"))
+    kind = F.element_at(F.array(*map(F.lit, ("clear", "save", "save_failed", "save_ok"))), F.least(F.col("event_id") % 5, F.lit(3)).cast("int") + 1)
+    error = (F.col("gesture") == "Pen up") & (F.col("event_id") % 5 < 4)
+    return frames.where(~error), frames.where(error).select("session_id", "us", "seq", kind.alias("action"))
+
+
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strokeloom.operators.sessions import CLOSED, STATE, Capture, schema_for, step
+from strokeloom.operators.sessions import CLOSED, NONE, STATE, Capture, schema_for, step
 from strokeloom.params import CaptureRules
 
 
 def closed_samples(rows: DataFrame, rules: CaptureRules) -> DataFrame:
-    """rows: a stream of (session_id, us, seq, action, outcome), in order across micro-batches.
+    """rows: a stream of (session_id, us, seq, action, outcome[, until]), in order across micro-batches.
 
     Rows of one micro-batch are sorted by (us, seq). Nothing closes on a timer: a pause ends at an
     observed frame.
@@ -26,9 +26,10 @@ def closed_samples(rows: DataFrame, rules: CaptureRules) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = Capture(*held.get) if held.exists else Capture()
         rows = pd.concat(list(batches)).sort_values(["us", "seq"], kind="stable")
+        until = rows["until"].tolist() if "until" in rows else [NONE] * len(rows)
         out = []
-        for us, action, outcome in zip(rows["us"].tolist(), rows["action"].tolist(), rows["outcome"].tolist(), strict=True):
-            if closed := step(key[0], state, us, action, rules, outcome):
+        for us, action, outcome, end in zip(rows["us"].tolist(), rows["action"].tolist(), rows["outcome"].tolist(), until, strict=True):
+            if closed := step(key[0], state, us, action, rules, outcome, end):
                 out.append(closed)
         held.update(astuple(state))
         yield pd.DataFrame(out, columns=names)
