@@ -43,7 +43,8 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     mime = F.element_at(F.array(*map(F.lit, MIMES)), (F.col("doc_id") % 4 + 1).cast("int"))
     comma = F.when(F.col("doc_id") % 7 == 0, F.lit(";")).otherwise(F.lit(","))
     url = F.concat(F.lit("data:"), mime, F.lit(";base64"), comma, F.base64(F.col("text").cast("binary")))
-    return tables.table(spark, sf_dir, "documents").select("doc_id", "source", url.alias("url"), F.octet_length("text").alias("bytes"))
+    docs = tables.dealt(tables.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return docs.select("doc_id", "source", url.alias("url"), F.octet_length("text").alias("bytes"))
 
 
 def dataurl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,23 +72,67 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = tables.parse_requests(_requests(spark, sf_dir)).where("body_status is null")
-    return ingest.build_sample_files(parsed, RULES, F.lit(NOW).cast("timestamp"))
+    return ingest.build_sample_files(tables.parse_requests(_requests(spark, sf_dir)), RULES, F.lit(NOW).cast("timestamp"))
 
 
 def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status, paths and merged metadata of every request, also of bodies that are no JSON."""
-    parsed = tables.parse_requests(_requests(spark, sf_dir))
-    bad = parsed.where("body_status is not null").select("doc_id", F.col("body_status").alias("status"))
-    said = lambda k: F.get_json_object("metadata", f"$.{k}")
-    built = ingest.build_sample_files(parsed.where("body_status is null"), RULES, F.lit(NOW).cast("timestamp"))
+    built = tables.settled(_built(spark, sf_dir).withColumn("_meta", F.try_parse_json(F.when(F.col("status").isNull(), F.col("metadata")))))
+    said = lambda k, kind="string": F.try_variant_get("_meta", f"$.{k}", kind)
     outcome = {
         **{c: F.col(c) for c in ("username", "label", "image_path", "video_path", "json_path", "message")},
-        "meta_username": said("username"), "meta_extra": said("extra").cast("long"), "meta_created_at": said("created_at"),
-        "meta_path": said("repository.paths.json"), "n_files": F.size("files").cast("long"),
+        "meta_username": said("username"), "meta_extra": said("extra", "long"), "meta_created_at": said("created_at"), "meta_path": said("repository.paths.json"),
+        "n_files": (F.lit(1) + F.col("image_path").isNotNull().cast("int") + F.col("video_path").isNotNull().cast("int")).cast("long"),
     }
-    good = built.select("doc_id", "status", *(F.when(F.col("status").isNull(), c).alias(k) for k, c in outcome.items()))
-    return good.unionByName(bad, allowMissingColumns=True)
+    return built.select("doc_id", "status", *(F.when(F.col("status").isNull(), c).alias(k) for k, c in outcome.items()))
+
+
+ODD_RULES = IngestRules(upload_key="k1", max_bytes=6000)
+
+
+def _odd_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as bodies of thirteen kinds, most of them odd: a key twice, text after the object,
+    single quotes, wrong types, both media or none, too large, keys beside the body and in it."""
+    text = F.regexp_replace(F.substring("text", 1, 5000), "[^A-Za-z ]", "")
+    media = lambda mime, more="", text=text: F.concat(F.lit(f'{{"dataUrl":"data:{mime};base64,'), F.regexp_replace(F.base64(text.cast("binary")), r"\s", ""), F.lit(f'"{more}}}'))
+    image = media("image/png")
+    large = F.rpad(text, F.when(F.col("doc_id") % 2 == 0, 4000).otherwise(1000), "x")
+    body = lambda *parts: F.concat(F.lit('{"username":"u","label":"ঔ","sampleId":"'), F.col("doc_id").cast("string"), F.lit('"'), *(F.lit(p) if isinstance(p, str) else p for p in parts))
+    own = ',"uploadKey":"k1"}'
+    kinds = (
+        body(',"image":', image, ',"metadata":{"a":1,"a":2,"b":{"c":[1],"c":3}}', own),
+        F.concat(body(',"image":', image, own), F.lit(" and more")),
+        F.translate(body(',"image":', image, own), '"', "'"),
+        body(',"image":', image, ',"video":"none"', own),
+        body(',"image":', media("image/png", text=large), ',"video":', media("video/mp4;codecs=x", text=large), own),
+        body(own),
+        body(',"video":', media("video/webm", ',"extension":"MP4"'), own),
+        body(',"image":', image, ',"uploadKey":"k2"}'),
+        body(',"image":', image, ',"uploadKey":"k2"}'),
+        F.lit("[1, 2]"),
+        body(',"image":', image, ',"metadata":[1,2]', own),
+        F.concat(body(',"image":', image, own), F.lit(","), body(own)),
+        F.concat(F.lit(" \n"), body(',"image":{"dataUrl":"data:image/png;base64,"}', own)),
+    )
+    kind = F.col("doc_id") % len(kinds)
+    chosen = F.lit(None).cast("string")
+    for k, made in enumerate(kinds):
+        chosen = F.when(kind == k, made).otherwise(chosen)
+    header = F.when(kind == 8, F.lit("k1")).when(kind == 0, F.lit(""))
+    docs = tables.dealt(tables.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", kind.alias("kind"), chosen.alias("body"), F.col("doc_id").cast("string").alias("seed"), header.alias("header_key"))
+
+
+def odd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A status, files and metadata for every body, however odd."""
+    parsed = tables.parse_requests(_odd_bodies(spark, sf_dir), max_body=9000)
+    built = ingest.build_sample_files(parsed, ODD_RULES, F.lit(NOW).cast("timestamp"))
+    kept = F.filter("files", lambda f: ~F.endswith(f["path"], F.lit(".json")))
+    said = lambda k: F.when(F.col("status").isNull(), F.get_json_object("metadata", f"$.{k}"))
+    return built.select(
+        "doc_id", "kind", F.coalesce("status", F.lit(200)).alias("status"),
+        F.when(F.col("status").isNull(), F.array_join(F.transform(kept, lambda f: F.substring_index(f["path"], ".", -1)), " ")).alias("media"), said("a").alias("a"), said("b.c").alias("c"),
+    )
 
 
 def byte_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +194,8 @@ def falsy_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events' props with a name on top: unknown keys survive, overrides win."""
     user = ingest.as_variant(F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    merged = F.to_json(ingest.merge_metadata(F.concat(F.lit('{"username": "old", "own": [1, "x"], '), F.substring("props", 2, 1000)), {"username": user, "label": ingest.as_variant(F.lit("ঔ"))}))
+    given = F.concat(F.lit('{"username": "older", "username": "old", "own": [1, "x"], '), F.substring("props", 2, 1000))
+    merged = F.to_json(ingest.merge_metadata(ingest.metadata_object(given), {"username": user, "label": ingest.as_variant(F.lit("ঔ"))}))
     rows = tables.table(spark, sf_dir, "events").select("event_id", merged.alias("m"))
     got = lambda k: F.get_json_object("m", f"$.{k}")
     return rows.select("event_id", got("k").cast("long").alias("k"), got("username").alias("username"), got("label").alias("label"), got("own[1]").alias("own"))
@@ -219,9 +265,12 @@ def repo_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def response_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What senders are told of the requests that are JSON."""
-    told = ingest.response(_built(spark, sf_dir))
-    return told.select(F.col("sample_id").cast("long").alias("doc_id"), "ok", "status", F.array_join("paths", " ").alias("paths"))
+    """What every sender is told once the files are committed."""
+    built = _built(spark, sf_dir)
+    store = SampleStore(spark, new_folder(spark, "responses"))
+    version = store.commit(ingest.file_rows(built), "Add samples")
+    told = ingest.response(built, version, "manifests/")
+    return told.select(F.col("seed").cast("long").alias("doc_id"), "sample_id", "ok", "status", F.array_join("paths", " ").alias("paths"), "commit", "commit_url")
 
 
 def sample_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +296,7 @@ QUERIES = {
     for f in (
         key_sanitise, sample_paths, dataurl_parse, ingest_requests, byte_sums, size_cap, status_pass_through, iso_stamp, sample_id_stamp, label_domain,
         label_semi_join, falsy_defaults, metadata_merge, upsert_by_path, store_round_trip, codec_preference, chunk_concat, sample_statistics,
-        file_hashes, tumbling_slices, settings_defaults, repo_shape, response_projection,
+        file_hashes, tumbling_slices, settings_defaults, repo_shape, response_projection, odd_requests,
     )
 }
 
@@ -289,7 +338,13 @@ ORACLE_SQL = {
     "settings_defaults": f"""SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN role ELSE 'user1' END AS username, CASE WHEN turn % 2 = 0 THEN '{LABELS[2]}' ELSE '{LABELS[0]}' END AS label,
         CASE WHEN turn % 3 = 0 THEN 'k' ELSE '' END AS upload_key FROM conversations""",
     "repo_shape": "SELECT p_partkey, regexp_full_match(CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'own' END || '/' || CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand END, '[^/\\s]+/[^/\\s]+') AS ok FROM part",
-    "response_projection": f"""WITH {_URLS_SQL}, {_INGEST_SQL} SELECT doc_id, fault IS NULL AS ok, fault AS status,
-        CASE WHEN fault IS NULL THEN base || CASE WHEN doc_id % 2 = 0 THEN '.png ' ELSE '.webm ' END || base || '.json' END AS paths FROM judged""",
+    "response_projection": f"""WITH {_URLS_SQL}, {_INGEST_SQL}, told AS (SELECT doc_id, base, CASE WHEN doc_id % 31 = 0 THEN 400 ELSE coalesce(fault, 200) END AS status FROM urls LEFT JOIN judged USING (doc_id))
+        SELECT doc_id, CASE WHEN status = 200 THEN doc_id::VARCHAR END AS sample_id, status = 200 AS ok, status, CASE WHEN status = 200 THEN '000000000001' END AS commit,
+        CASE WHEN status = 200 THEN 'manifests/000000000001.json' END AS commit_url,
+        CASE WHEN status = 200 THEN base || CASE WHEN doc_id % 2 = 0 THEN '.png ' ELSE '.webm ' END || base || '.json' END AS paths FROM told""",
+    "odd_requests": """WITH d AS (SELECT doc_id, doc_id % 13 AS kind, strlen(regexp_replace(substring(text, 1, 5000), '[^A-Za-z ]', '', 'g')) AS n FROM documents),
+        judged AS (SELECT *, CASE WHEN kind IN (1, 2, 5, 9, 11, 12) OR (n = 0 AND kind NOT IN (4, 7)) THEN 400 WHEN kind = 7 THEN 401 WHEN kind = 4 AND doc_id % 2 = 0 THEN 413 ELSE 200 END AS status FROM d)
+        SELECT doc_id, kind, status, CASE WHEN status = 200 THEN CASE kind WHEN 4 THEN 'png mp4' WHEN 6 THEN 'mp4' ELSE 'png' END END AS media,
+          CASE WHEN status = 200 AND kind = 0 THEN '2' END AS a, CASE WHEN status = 200 AND kind = 0 THEN '3' END AS c FROM judged""",
     "sample_statistics": "SELECT source, lang, count(*) AS samples, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source, lang)",
 }

@@ -33,16 +33,30 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parse_requests(bodies: DataFrame, max_body: int | None = None) -> DataFrame:
     """bodies: (body, ...). Adds `request` and `body_status`: 413 over max_body bytes, 400 if the
-    body is no JSON object, else null. An empty body is an empty object."""
+    body is not one JSON object and nothing else, else null. An empty body is an empty object.
+
+    Fields of the wrong type count as absent; no body stops a job.
+    """
     text = F.coalesce(S.blank_to_null(F.col("body")), F.lit("{}"))
-    schema = f"{schemas.REQUEST}, _corrupt string"
-    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = settled(bodies.withColumn("request", parsed))
+    # As the one item of an array: text after the object would make two of it, or none.
+    items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT)
+    whole = (F.size(items) == 1) & F.startswith(F.ltrim(text), F.lit("{"))
+    parsed = F.from_json(text, schemas.REQUEST, {"mode": "PERMISSIVE", **STRICT})
+    rows = settled(bodies.withColumns({"request": parsed, "_whole": F.coalesce(whole, F.lit(False))}))
     too_long = F.octet_length("body") > F.lit(max_body) if max_body is not None else F.lit(False)
-    status = F.when(too_long, F.lit(413)).when(F.col("request").isNull() | F.col("request._corrupt").isNotNull(), F.lit(400))
-    return rows.withColumn("body_status", status).withColumn("request", F.col("request").dropFields("_corrupt"))
+    status = F.when(too_long, F.lit(413)).when(~F.col("_whole"), F.lit(400))
+    return rows.withColumn("body_status", status).drop("_whole")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a small table of one file is one task else."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def settings(df: DataFrame, username: str = "username", label: str = "label", key: str = "upload_key", default_user: str = "user1") -> DataFrame:
@@ -54,8 +68,10 @@ def settings(df: DataFrame, username: str = "username", label: str = "label", ke
     })
 
 
-def checked_rules(repo: str, **given) -> IngestRules:
-    """IngestRules; repo must be owner/name without white space."""
+def checked_rules(repo: str, token: str | None = None, **given) -> IngestRules:
+    """IngestRules; repo must be owner/name without white space, and a token must be there."""
+    if not token:
+        raise ValueError("a token for the store is needed")
     if not re.fullmatch(r"[^/\s]+/[^/\s]+", repo or ""):
         raise ValueError("repo must be owner/name")
     chosen = {k: v for k, v in given.items() if v not in (None, "")}

@@ -61,8 +61,8 @@ def test_bodies(spark):
     df = spark.createDataFrame([("{oops",), ("[1]",), ("{}",), (None,), ("{" + " " * 100 + "}",)], "body string")
     assert [r.body_status for r in tables.parse_requests(df, 50).collect()] == [400, 400, None, None, 413]
     with pytest.raises(ValueError):
-        tables.checked_rules("no slash")
-    assert tables.checked_rules("a/b", output_dir="/out/", branch="").output_dir == "out"
+        tables.checked_rules("no slash", "t")
+    assert tables.checked_rules("a/b", "t", output_dir="/out/", branch="").output_dir == "out"
 
 
 def test_store_conflict_and_retry(spark, tmp_path):
@@ -153,3 +153,104 @@ def test_sessions_of_any_key(spark):
     big = (1 << 60) + 1
     ids = spark.createDataFrame([(big, 0, 0, "Draw", ""), (None, 0, 0, "Draw", "")], "session_id long, us long, seq long, action string, outcome string")
     assert {r.session_id for r in sessions.follow(ids, CaptureRules()).collect()} == {big, None}
+
+
+ROW = "username string, label string, path string, content binary"
+
+
+def test_torn_manifests_are_passed_over(spark, tmp_path):
+    store = SampleStore(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([("u", "l", "p1", bytearray(b"a"))], ROW)
+    assert store.commit(rows, "one") == 1
+    for version, text in ((2, ""), (3, '{"parts": ["par'), (4, "[]")):
+        (tmp_path / f"s/manifests/{version:012d}.json").write_text(text)
+    assert store.head()[0] == 4 and [bytes(r.content) for r in store.read().collect()] == [b"a"]
+    assert store.commit(rows.withColumn("content", F.lit(b"b")), "five") == 5
+    assert [bytes(r.content) for r in store.read().collect()] == [b"b"]
+    assert not store._create(5, {"parts": []}) and not [p for p in (tmp_path / "s/manifests").iterdir() if p.name.startswith(".0") and not p.name.endswith(".crc")]
+
+
+def test_missing_store(spark, tmp_path):
+    from strokeloom.sources.sink import MissingStore
+
+    with pytest.raises(MissingStore) as told:
+        SampleStore(spark, f"file://{tmp_path}/none", create=False)
+    assert told.value.status == 400
+    assert SampleStore(spark, f"file://{tmp_path}/none").read().count() == 0
+
+
+def test_many_commits_are_one_scan_and_compact(spark, tmp_path):
+    store = SampleStore(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([("u", "l", f"p{k}", bytearray(b"first")) for k in range(5)], ROW)
+    store.commit(rows, "all", "stream:0")
+    for k in range(1, 12):
+        one = spark.createDataFrame([("u" if k % 2 else "v", "l", f"p{k % 6}", bytearray(str(k).encode()))], ROW).coalesce(1)
+        store.commit(one, "one", f"stream:{k}")
+    want = {"p0": b"6", "p1": b"7", "p2": b"8", "p3": b"9", "p4": b"10", "p5": b"11"}
+    held = lambda: {r.path: bytes(r.content) for r in store.read().collect()}
+    plan = store.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert held() == want and plan.count("Relation [") == 1
+    before = store.head()
+    assert store.commit(rows, "again", "stream:7") == before[0] and store.head() == before
+    store.compact()
+    assert len(store.head()[1]["parts"]) == 1 and store.head()[1]["batches"] == {"stream": 11} and held() == want
+
+
+def test_chunks_on_a_stream_with_late_ones(spark, tmp_path):
+    from strokeloom.streaming.sessions import media_slices
+
+    schema = "session_id long, ts timestamp, data binary"
+    at = lambda ms: f"2026-01-01 00:00:{ms / 1000:06.3f}"
+    batches = [[(1, at(0)), (1, at(100)), (1, at(300))], [(1, at(240)), (1, at(900))], [(1, at(2000))], [(1, at(10)), (1, at(5000))]]
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(s, t, bytearray(b"xy")) for s, t in rows], "session_id long, ts string, data binary")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in")
+    query = media_slices(stream).select("session_id", F.unix_millis("slice.start").alias("ms"), "chunks", "bytes").writeStream.format("parquet")
+    query.option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("session_id long, ms long, chunks long, bytes long").parquet(f"{tmp_path}/out").collect()
+    base = min(r.ms for r in got)
+    found = {r.ms - base: (r.chunks, r.bytes) for r in got}
+    assert found[0] == (3, 6) and found[250] == (1, 2) and found[750] == (1, 2)  # 240 ms came in time, 10 ms too late
+
+
+def test_odd_bodies_and_repeated_keys(spark):
+    row = built(spark, '{"image":{"dataUrl":"data:image/png;base64,TWFu"},"metadata":{"a":1,"a":{"x":1,"x":2},"label":"ঔ"},"sampleId":"s"}').first()
+    assert row.status is None and json.loads(row.metadata)["a"] == {"x": 2} and row.label == "ঔ"
+    assert built(spark, {"image": PNG, "video": "none"}).first().status is None
+    df = spark.createDataFrame([("{} x",), ("{'a': 1}",), ("{},{}",), ('{"a":1}\n',), ('"{}"',), ("null",)], "body string")
+    assert [r.body_status for r in tables.parse_requests(df).collect()] == [400, 400, 400, None, 400, 400]
+
+
+def test_header_key_counts_first(spark):
+    rules = IngestRules(upload_key="k")
+    rows = [(json.dumps({"image": PNG, "uploadKey": body}), "s", header) for body, header in (("k", None), ("k", ""), ("x", "k"), ("k", "x"))]
+    df = spark.createDataFrame(rows, "body string, seed string, header_key string")
+    assert [r.status for r in ingest.build_sample_files(tables.parse_requests(df), rules, now()).collect()] == [None, None, None, 401]
+    with pytest.raises(ValueError):
+        tables.checked_rules("a/b")
+
+
+def test_frames_as_files_and_as_a_stream(spark, tmp_path):
+    hand = [{"x": 0.5, "y": 0.5, "z": 0.0}] * 21
+    hands = spark.createDataFrame([("s", 0, [hand, hand]), ("s", 1, [])], "session_id string, frame_idx bigint, hands array<array<struct<x:double,y:double,z:double>>>")
+    rows = hands.select("session_id", "frame_idx", F.lit(0).cast("timestamp").alias("ts"), F.lit(640).alias("frame_w"), F.lit(480).alias("frame_h"), F.lit("Left").alias("handedness"), R.first_hand(F.col("hands")).alias("landmarks"))
+    rows.write.parquet(f"{tmp_path}/frames")
+    read = tables.read_frames(spark, f"{tmp_path}/frames")
+    assert [r.landmarks is None for r in read.orderBy("frame_idx").collect()] == [False, True] and R.pen_frames(read).where("down").count() == 0
+    query = R.pen_frames(tables.read_frames(spark, f"{tmp_path}/frames", streaming=True)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks")
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    (tmp_path / "lines.json").write_text('{"username": "a"}\n{oops\n')
+    assert [(r.request.username, r.body_status) for r in tables.read_requests(spark, f"{tmp_path}/lines.json").collect()] == [("a", None), (None, 400)]
+
+
+def test_a_clear_aborts_a_save_and_a_late_outcome_is_a_failure(spark):
+    schema = "session_id long, us long, seq long, action string"
+    s = 1_000_000
+    frames = [(k, s // 10 * j, j, "Draw") for k in range(4) for j in range(12)] + [(k, 100 * s, 50, "Draw") for k in range(4)]
+    controls = [(k, 2 * s, 20, "save") for k in range(4)]
+    controls += [(0, 3 * s, 21, "save_ok"), (1, 3 * s, 21, "save_failed"), (2, 3 * s, 21, "clear"), (3, 90 * s, 21, "save_ok")]
+    rows = sessions.with_controls(spark.createDataFrame(frames, schema), spark.createDataFrame(controls, schema), CaptureRules())
+    got = sorted((r.session_id, r.sample, r.num_points, r.reason) for r in sessions.fold(rows, CaptureRules()).collect())
+    assert got == [(0, 0, 12, "manual"), (0, 1, 1, "open"), (1, 0, 13, "cap"), (2, 0, 1, "open"), (3, 0, 13, "cap")]
