@@ -12,7 +12,9 @@ to their documents.
 
 Defined cases: null or empty texts have no words and are never hit; an item without words has no
 window; windows that several items share count for each of them; documents that repeat stay rows
-of their own; extra columns pass by untouched and may bear any name.
+of their own; of windows that tie in rarity the one of the least word is the prefix; a very long text
+is split once and its words travel one by one; an empty table of documents gives no rows, one of
+items no hits; extra columns are not read and may bear any name.
 """
 
 from __future__ import annotations

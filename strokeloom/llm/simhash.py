@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strokeloom.llm.common import documents, joined, materialize, quoted
-from strokeloom.llm.graph import components
+from strokeloom.llm.graph import components, forest
 
 SHINGLE = 3
 SEED = 42
@@ -72,21 +72,6 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "_fp") ->
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, least node reachable) of a graph of n nodes with links i to j."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, i, least)
-        np.minimum.at(after, j, least)
-        after = after[after]
-        if (after == root).all():
-            moved = np.nonzero(root != np.arange(n))[0]
-            return moved, root[moved]
-        root = after
-
-
 def compare_tiles(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between two tiles, or within one, as pairs of fingerprints."""
     near = np.bitwise_count(left[:, None] ^ right[None, :]) <= radius
@@ -97,9 +82,9 @@ def compare_tiles(left: np.ndarray, right: np.ndarray, radius: int, same: bool)
         return left[i], right[j]
     both = np.concatenate([left, right])
     if same:
-        node, root = _forest(len(left), i, j)
+        node, root = forest(len(left), i, j)
     else:
-        node, root = _forest(len(both), i, j + len(left))
+        node, root = forest(len(both), i, j + len(left))
     return both[node], both[root]
 
 

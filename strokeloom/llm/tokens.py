@@ -13,8 +13,8 @@ character that no piece covers costs UNKNOWN less than the worst piece and is as
 has UTF-8 bytes.
 
 Defined cases: null and empty texts have 0 tokens; on equal scores the path with fewer tokens wins;
-pre-tokens of any length take time in proportion to it; rows that repeat stay rows; extra columns
-pass by untouched.
+pre-tokens of any length, and very long texts, take time in proportion to it; rows that repeat stay
+rows; an empty table gives no rows; extra columns pass by untouched.
 """
 
 from __future__ import annotations

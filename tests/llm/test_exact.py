@@ -110,6 +110,25 @@ def test_components_on_a_path(spark):
     assert all(found[k] == 0 for k in range(1, 41)) and found[101] == 100
 
 
+def test_components_of_random_links(spark, monkeypatch):
+    import random
+
+    from strokeloom.llm import graph
+
+    rng = random.Random(9)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    root = list(range(400))
+    for _ in range(400):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    touched = {x for a, b in links if a != b for x in (a, b)}
+    df = spark.createDataFrame(links, "a long, b long").repartition(4)
+    for held in (graph.HELD, 3):
+        monkeypatch.setattr(graph, "HELD", held)
+        assert {(r.node, r.root) for r in graph.components(df).collect()} == {(x, root[x]) for x in touched if root[x] != x}
+    assert graph.components(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_substrings_awkward(docs_of, awkward, extra):
     rows = [r for r in awkward if r[0] is not None or r[1] is None]
@@ -320,6 +339,16 @@ def test_token_counts_equal_a_unigram_tokenizer(docs_of, awkward, sf_dir):
     assert tokens.with_token_counts(rows, pieces).count() == len(awkward)
 
 
+def test_token_counts_query(spark, sf_dir, docs_of, tmp_path):
+    pieces = tokens.read_pieces(tokens.VOCABULARY)
+    texts = dict(pairs(sf_dir))
+    counts = dict(zip(texts, tokens.TextCounter(tokens.scores_of(pieces)).count(list(texts.values())), strict=True))
+    got = {(r.doc_id, r.n_chars, r.n_tokens) for r in QUERIES["op5_token_counts"](spark, sf_dir).collect()}
+    assert got == {(k, len(t), counts[k]) for k, t in texts.items()}
+    docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op5_token_counts"](spark, str(tmp_path)).count() == 0
+
+
 def test_token_counts_forget_without_loss(monkeypatch):
     scores = tokens.scores_of(["a", "b", "ab", tokens.MARK, tokens.MARK + "a"])
     monkeypatch.setattr(tokens, "KNOWN", 3)
