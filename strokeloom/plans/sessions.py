@@ -51,6 +51,16 @@ def clear_cooldown_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("session_id", "event_id", "us", "gesture")
 
 
+def recorder_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the chunks that are not empty and of the session's current recorder; others came too late."""
+    events = tables.table(spark, sf_dir, "events")
+    data = F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("props")).cast("binary")
+    chunks = events.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 3).alias("recorder"), F.col("event_id").alias("chunk_idx"), data.alias("data"))
+    current = chunks.groupBy("session_id").agg(F.max_by("recorder", "chunk_idx").alias("recorder"))
+    kept = R.live_chunks(chunks, current)
+    return kept.groupBy("session_id", "recorder").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("data")).alias("bytes"))
+
+
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -186,7 +196,7 @@ SELECT 'output/user' || session_id || '/' || sample_id || '.json' AS path, sampl
   max(delta_p) AS most_delta_p, min(cos_alpha) AS least_cos_alpha, max(sin_beta) AS most_sin_beta, sum(same_stroke)::BIGINT AS same_strokes
 FROM (SELECT *, session_id || '_' || sample AS sample_id FROM saved) JOIN features USING (sample_id) GROUP BY ALL"""
 
-QUERIES = {f.__name__: f for f in (sample_sessions_batch, sample_summary, saved_samples, pause_progress, clear_cooldown_antijoin, stream_sessions, controlled_sessions, controlled_frames, sample_documents)}
+QUERIES = {f.__name__: f for f in (sample_sessions_batch, sample_summary, saved_samples, pause_progress, clear_cooldown_antijoin, stream_sessions, controlled_sessions, controlled_frames, sample_documents, recorder_fence)}
 
 ORACLE_SQL = {
     "sample_sessions_batch": f"{_WITH} SELECT * FROM samples",
@@ -202,5 +212,8 @@ ORACLE_SQL = {
     "controlled_frames": f"""{_CONTROLLED} SELECT session_id, event_id, CASE WHEN reason <> '' THEN o_sample ELSE sample END AS sample, o_points AS num_points, o_strokes AS num_strokes, reason, counted
         FROM walk WHERE rn > 0""",
     "sample_documents": _DOCUMENTS,
+    "recorder_fence": """WITH c AS (SELECT user_id AS session_id, event_id % 3 AS recorder, event_id, CASE WHEN event_type = 'error' THEN '' ELSE props END AS data FROM events),
+        n AS (SELECT session_id, arg_max(recorder, event_id) AS recorder FROM c GROUP BY session_id)
+        SELECT session_id, recorder, count(*) AS chunks, sum(strlen(data))::BIGINT AS bytes FROM c JOIN n USING (session_id, recorder) WHERE data <> '' GROUP BY ALL""",
     "stream_sessions": f"{_WITH} SELECT * FROM samples WHERE reason <> 'open'",
 }

@@ -103,6 +103,17 @@ def gesture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("gesture", "is_right", "thumb").agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with no hand, one or two: the first decides, and none is a raised pen."""
+    rows = tables.embedding_landmarks(spark, sf_dir)
+    mirrored = F.transform("landmarks", lambda p: F.struct(p["y"].alias("x"), p["x"].alias("y")))
+    none = F.array().cast(dict(rows.dtypes)["landmarks"].join(("array<", ">")))
+    hands = F.when(F.col("vec_id") % 4 == 0, none).when(F.col("vec_id") % 4 == 1, F.array("landmarks")).otherwise(F.array("landmarks", mirrored))
+    hand = R.first_hand(F.col("hands"))
+    seen = rows.withColumn("hands", hands).withColumn("gesture", R.gesture(hand, R.is_right(F.col("handedness"))))
+    return seen.select("vec_id", "gesture", (F.col("gesture") == "Draw").alias("down"), hand.isNotNull().alias("seen"))
+
+
 def mirror_clamp_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     tip = R.display_point(R.landmark(F.col("landmarks"), 8), RULES.frame_w, RULES.frame_h)
     rows = tables.embedding_landmarks(spark, sf_dir).withColumn("at", tip)
@@ -154,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         trajectory_features_8d, trajectory_features_array, stroke_ids, stroke_summary, sample_trajectories, ink_segments, gesture_counts,
-        mirror_clamp_normalise, skeleton_segments, ink_log, ink_occupancy_grid,
+        first_hands, mirror_clamp_normalise, skeleton_segments, ink_log, ink_occupancy_grid,
     )
 }
 
@@ -174,6 +185,9 @@ ORACLE_SQL = {
         FROM strokes WHERE down WINDOW w AS (PARTITION BY session_id, stroke_id ORDER BY us, event_id)""",
     "gesture_counts": f"""WITH {_HAND_SQL} SELECT CASE WHEN i AND NOT m AND NOT r AND NOT l THEN 'Draw' WHEN i AND m AND r AND l THEN 'Erase' ELSE 'Pen up' END AS gesture,
         is_right, thumb, count(*) AS n FROM fingers GROUP BY ALL""",
+    "first_hands": f"""WITH {_HAND_SQL}, told AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'Pen up' WHEN i AND NOT m AND NOT r AND NOT l THEN 'Draw'
+          WHEN i AND m AND r AND l THEN 'Erase' ELSE 'Pen up' END AS gesture FROM fingers)
+        SELECT vec_id, gesture, gesture = 'Draw' AS down, vec_id % 4 <> 0 AS seen FROM told""",
     "mirror_clamp_normalise": f"""WITH {_HAND_SQL}, pixels AS (SELECT vec_id, greatest(0.0::DOUBLE, least({RULES.frame_w}::DOUBLE, (1 - x[9]) * {RULES.frame_w})) AS x,
         greatest(0.0::DOUBLE, least({RULES.frame_h}::DOUBLE, y[9] * {RULES.frame_h})) AS y FROM hands)
         SELECT vec_id, x, y, x / {RULES.frame_w} AS p, y / {RULES.frame_h} AS q FROM pixels""",
