@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strokeloom.llm.common import arrow_batches, documents, joined, materialize, release
+from strokeloom.llm.common import arrow_batches, documents, joined, kept, materialize, release, scratch
 
 THRESHOLD = 100
 GRAM = 32  # a power of two
@@ -165,6 +166,7 @@ def _join_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return texts.join(right, ["rank", "h1"], how)
 
 
+PARTS = 2  # in which the first round is done, one after the other: half the disk
 SHIFT = 7  # a run has fewer than 1 << SHIFT bytes that a rank starts at
 
 
@@ -216,9 +218,10 @@ def with_shared_regions(slices: DataFrame, threshold: int, gram: int = GRAM) ->
     return slices.join(alive, "run")
 
 
-def first_ranks(slices: DataFrame, threshold: int, gram: int = GRAM) -> DataFrame:
+def first_ranks(slices: DataFrame, threshold: int, gram: int = GRAM, part: int = 0, parts: int = 1) -> DataFrame:
     """(p, a, b, starts, halves): positions that doubling looks at, p in the order of places, with the
-    first ranks at p and p + gram. starts: a window starts there; halves: one starts `tail` before."""
+    first ranks at p and p + gram. starts: a window starts there; halves: one starts `tail` before.
+    Of several parts, by the rank at p, only one."""
     tail = threshold - 2 * gram  # the second round's offset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +242,8 @@ def first_ranks(slices: DataFrame, threshold: int, gram: int = GRAM) -> DataFram
             at, place = np.unique(at, return_inverse=True)
             starts, halves = np.zeros(len(at), bool), np.zeros(len(at), bool)
             starts[place[: len(i)]], halves[place[len(i) :]] = True, True
+            mine = names[base[at >> SHIFT] + (at & ((1 << SHIFT) - 1))] % parts == part
+            at, starts, halves = at[mine], starts[mine], halves[mine]
             who, i = at >> SHIFT, at & ((1 << SHIFT) - 1)
             spot = base[who] + i
             columns = (ids[who] * (1 << SHIFT) + i, names[spot], names[spot + gram], starts, halves)
@@ -250,7 +255,9 @@ def first_ranks(slices: DataFrame, threshold: int, gram: int = GRAM) -> DataFram
 def reranked(pairs: DataFrame, name: str) -> DataFrame:
     """pairs: (p, a, b, ...). Those that are not alone with (a, b), and `rank`: the pair's least p."""
     ranks = pairs.groupBy("a", "b").agg(F.min("p").alias("rank"), F.count(F.lit(1)).alias("met")).where("met > 1")
-    return joined(pairs, materialize(ranks, name), ["a", "b"], "met").drop("a", "b")
+    ranks = materialize(ranks, name)
+    release(pairs.sparkSession)
+    return joined(pairs, ranks, ["a", "b"], "met").drop("a", "b")
 
 
 def repeated_windows(slices: DataFrame, threshold: int, gram: int = GRAM) -> DataFrame:
@@ -259,7 +266,11 @@ def repeated_windows(slices: DataFrame, threshold: int, gram: int = GRAM) -> Dat
     tail = threshold - 2 * gram
     if not 0 <= tail <= 2 * gram or threshold - gram + tail >= 1 << SHIFT:
         raise ValueError("two rounds rank 2 * gram to 4 * gram bytes")
-    halves = reranked(first_ranks(slices, threshold, gram), "ranks")
+    spark, parts = slices.sparkSession, []
+    for part in range(PARTS):  # equal pairs lie in one part; each gives up its shuffles before the next
+        with scratch(spark):
+            parts.append(kept(reranked(first_ranks(slices, threshold, gram, part, PARTS), "ranks"), "halves"))
+    halves = reduce(DataFrame.unionByName, parts)
     # A window is the pair of the ranks at its start and `tail` after it; together they span it.
     sides = F.array(
         F.when(F.col("starts"), F.struct("p", F.col("rank").alias("a"), F.lit(None).cast("long").alias("b"))),
@@ -268,7 +279,7 @@ def repeated_windows(slices: DataFrame, threshold: int, gram: int = GRAM) -> Dat
     each = halves.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s")).select("s.*")
     pairs = each.groupBy("p").agg(F.max("a").alias("a"), F.max("b").alias("b")).where("a is not null and b is not null")
     pairs = materialize(pairs, "pairs")
-    release(slices.sparkSession)
+    release(spark)
     found = reranked(pairs, "windows").where("p <> rank")
     low = (1 << SHIFT) - 1
     each = found.groupBy(F.shiftright("p", SHIFT).alias("run")).agg(F.sort_array(F.collect_list(F.col("p").bitwiseAND(F.lit(low)).cast("int"))).alias("at"))
@@ -281,14 +292,11 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     gone, doubt = doubtful_runs(docs, threshold)
     release(spark)
-    with arrow_batches(spark, TEXTS):
-        slices = materialize(with_bytes(docs, doubt, threshold), "slices")
-    release(spark)
-    slices = materialize(with_shared_regions(slices, threshold), "regions")
-    release(spark)
-    with arrow_batches(spark, 16 * TEXTS):
-        found = materialize(repeated_windows(slices, threshold), "repeated")
-    release(spark)
+    with scratch(spark):
+        with scratch(spark), arrow_batches(spark, TEXTS):
+            slices = kept(with_shared_regions(materialize(with_bytes(docs, doubt, threshold), "slices"), threshold), "regions")
+        with arrow_batches(spark, 16 * TEXTS):
+            found = kept(repeated_windows(slices, threshold), "repeated")
     each = doubt.join(found, "run").select("doc_id", "h1", F.col("st").alias("from"), F.inline("spans"))
     windows = each.select("doc_id", "h1", (F.col("from") + F.col("st")).alias("st"), (F.col("from") + F.col("en") + threshold).alias("en"))
     whole = gone.select("doc_id", "h1", "st", (F.col("st") + F.col("n") + threshold - 1).alias("en"))
@@ -312,8 +320,6 @@ KEPT = "doc_id long, h1 long, n_bytes long, n_removed long, n_spans long, kept_s
 
 def dedup_substrings(docs: DataFrame, threshold: int = THRESHOLD, keep_bytes: bool = False) -> DataFrame:
     """One row per row of docs: KEPT, spans (maximal), and the remaining bytes with keep_bytes."""
-    spans = repeated_spans(docs, threshold)
-
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -331,10 +337,12 @@ def dedup_substrings(docs: DataFrame, threshold: int = THRESHOLD, keep_bytes: bo
                 arrays = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, [*(c.split()[0] for c in KEPT.split(", ")), "spans", "kept"])
 
-    judged = _join_texts(docs, spans, "left").select("doc_id", "h1", "z", "spans")
-    judged = judged.mapInArrow(apply, f"{KEPT}, spans array<struct<st:int,en:int>>, kept binary")
-    with arrow_batches(docs.sparkSession, TEXTS):
-        judged = materialize(judged, "judged")
+    with scratch(docs.sparkSession):
+        spans = repeated_spans(docs, threshold)
+        judged = _join_texts(docs, spans, "left").select("doc_id", "h1", "z", "spans")
+        judged = judged.mapInArrow(apply, f"{KEPT}, spans array<struct<st:int,en:int>>, kept binary")
+        with arrow_batches(docs.sparkSession, TEXTS):
+            judged = kept(judged, "judged")
     counted = judged.groupBy(*judged.columns).agg(F.count(F.lit(1)).alias("copies"))
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     all_gone = (F.col("copy") > 1) & (F.col("n_bytes") >= threshold)
