@@ -14,9 +14,9 @@ no loss:
    of all texts is a few rows a task.
 3. What is left are the earliest runs of classes that share a gram with another class. The windows of
    a run whose anchors lie at like offsets (GRID of them) share a region; if no other run has the
-   region, none of them repeats.
+   region, none of them repeats. If another run has all that they cover, they are a class in turn.
 
-The windows that remain, about 2 % of all positions, are ranked by prefix doubling. A position's
+The windows that remain are ranked by prefix doubling. A position's
 first rank is the hash of its GRAM; then Spark groups the pairs (rank at p, rank at p + h) at growing
 offsets h, and the least position of a pair becomes its rank over twice the length, until THRESHOLD
 bytes are ranked (the last offset is clipped). Positions alone with their pair drop out after each
@@ -204,18 +204,26 @@ def with_bytes(docs: DataFrame, doubt: DataFrame, threshold: int) -> DataFrame:
     return _join_texts(docs, lists, "inner").select("z", "runs").mapInArrow(cut, "run long, n int, o int, data binary")
 
 
-def with_shared_regions(slices: DataFrame, threshold: int, gram: int = GRAM) -> DataFrame:
-    """slices, written, and `mask`: a bit for each GRID of offsets whose region another run has, too."""
+def judged_regions(slices: DataFrame, threshold: int, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """slices, written. (windows that repeat together with all others of their GRID of offsets: run, st,
+    en, the first and the last start in the run; slices and `mask`, a bit for each GRID in doubt)."""
     c = F.col
     last = threshold - gram
     each = slices.select("run", "n", "o", "data", F.explode(F.sequence(F.lit(0), F.lit(last // GRID))).alias("j"))
     low, high = c("j") * GRID, F.least((c("j") + 1) * GRID - 1, F.lit(last))
-    within = (F.greatest(low, c("o") - c("n") + 1) <= F.least(high, c("o"))) & (low <= c("o"))
-    regions = each.where(within).select("run", "j", F.xxhash64("j", F.substring("data", c("o") - low + 1, low + threshold - high)).alias("region"))
+    # What all windows of the grid share, and what they cover; of the cover only this run's own windows count.
+    first, final = F.greatest(low, c("o") - c("n") + 1), F.least(high, c("o"))
+    shared = F.xxhash64("j", F.substring("data", c("o") - low + 1, low + threshold - high))
+    cover = F.xxhash64("j", first, final, F.substring("data", c("o") - final + 1, final + threshold - first))
+    regions = each.where((first <= final) & (low <= c("o")))
+    regions = regions.select("run", "j", shared.alias("region"), cover.alias("cover"), (c("o") - final).alias("st"), (c("o") - first).alias("en"))
     regions = materialize(regions, "regions")
-    shared = materialize(regions.groupBy("region").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "shared")
-    alive = joined(regions, shared, "region", "met").groupBy("run").agg(F.sum(F.expr("shiftleft(1, j)")).cast("int").alias("mask"))
-    return slices.join(alive, "run")
+    covers = materialize(regions.groupBy("region", "cover").agg(F.min("run").alias("least"), F.count(F.lit(1)).alias("met")), "covers")
+    kinds = materialize(covers.groupBy("region").agg(F.count(F.lit(1)).alias("kinds"), F.count(F.lit(1)).alias("rows")), "kinds")
+    told = materialize(joined(covers, kinds, "region", "rows").where("kinds > 1 or met > 1"), "told")
+    told = materialize(joined(regions, told, ["region", "cover"], "met"), "judged")
+    alive = told.where("run = least and kinds > 1").groupBy("run").agg(F.sum(F.expr("shiftleft(1, j)")).cast("int").alias("mask"))
+    return told.where("run <> least").select("run", "st", "en"), slices.join(alive, "run")
 
 
 def first_ranks(slices: DataFrame, threshold: int, gram: int = GRAM, part: int = 0, parts: int = 1) -> DataFrame:
@@ -261,7 +269,7 @@ def reranked(pairs: DataFrame, name: str) -> DataFrame:
 
 
 def repeated_windows(slices: DataFrame, threshold: int, gram: int = GRAM) -> DataFrame:
-    """slices: of with_shared_regions, written. (run, spans): the windows that start earlier as well, as
+    """slices: of judged_regions, written. (run, spans): the windows that start earlier as well, as
     spans (st, en) of window starts in the run, both inclusive."""
     tail = threshold - 2 * gram
     if not 0 <= tail <= 2 * gram or threshold - gram + tail >= 1 << SHIFT:
@@ -294,10 +302,12 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     release(spark)
     with scratch(spark):
         with scratch(spark), arrow_batches(spark, TEXTS):
-            slices = kept(with_shared_regions(materialize(with_bytes(docs, doubt, threshold), "slices"), threshold), "regions")
+            whole_grids, slices = judged_regions(materialize(with_bytes(docs, doubt, threshold), "slices"), threshold)
+            whole_grids, slices = kept(whole_grids, "grids"), kept(slices, "masked")
         with arrow_batches(spark, 16 * TEXTS):
             found = kept(repeated_windows(slices, threshold), "repeated")
-    each = doubt.join(found, "run").select("doc_id", "h1", F.col("st").alias("from"), F.inline("spans"))
+        starts = kept(found.select("run", F.inline("spans")).unionByName(whole_grids), "starts")
+    each = doubt.select("run", "doc_id", "h1", F.col("st").alias("from")).join(starts, "run")
     windows = each.select("doc_id", "h1", (F.col("from") + F.col("st")).alias("st"), (F.col("from") + F.col("en") + threshold).alias("en"))
     whole = gone.select("doc_id", "h1", "st", (F.col("st") + F.col("n") + threshold - 1).alias("en"))
     return whole.unionByName(windows).groupBy("doc_id", "h1").agg(F.collect_list(F.struct("st", "en")).alias("spans"))
