@@ -59,8 +59,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs, "_w1", "_w2").withColumns({"_rank": F.coalesce("doc_id", F.lit(LAST)), "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
     texts = keyed.select("_rank", "_h1", "_h2", "text")
     with scratch(spark):
-        placed = materialize(jaccard.with_sets(texts), "shingles")
-        roots = jaccard.groups(texts, placed)
+        common = jaccard.common_hashes(texts)
+        placed = materialize(jaccard.with_sets(texts, common), "shingles")
+        roots = jaccard.groups(texts, placed, common)
         # The first of each set, then of each group: partial sums, so that no group is a task of its own.
         first = placed.groupBy("set").agg(F.min(F.struct("_rank", "_h1", "_h2")).alias("k"))
         named = first.join(roots, "set", "left").withColumn("_root", F.coalesce("root", "set"))

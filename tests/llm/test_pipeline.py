@@ -57,6 +57,22 @@ def test_near_copies_on_five_words(spark, docs_of, sf_dir):
     assert 1 in least.values() and 2 not in least.values() and {6, 7, 8} <= set(least.values())
 
 
+def test_a_large_group_of_near_copies_costs_few_pairs(spark, docs_of, sf_dir, monkeypatch):
+    """Copies of three changed words are near the plain text, not near each other; those of five, near none."""
+    rng, plain, tried = np.random.default_rng(6), [f"w{k}" for k in range(150)], []
+
+    def copy(k, changes):
+        at = set(rng.choice(np.arange(5, 145, 7), changes, replace=False))
+        return (k, " ".join(f"new{k}x{n}" if n in at else w for n, w in enumerate(plain)))
+
+    given = [copy(k, 3) for k in range(150)] + [copy(k, 5) for k in range(200, 240)] + [copy(300, 0)]
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: (tried.append(pairs.count()), verified(pairs, *rest))[1])
+    out = STAGE["simhash_near_dedup"](spark, docs_of(given, True), sf_dir)
+    assert sorted(r.doc_id for r in out.collect()) == [0, *range(200, 240)]
+    assert sum(tried) < 60 * len(given), tried
+
+
 def test_far_apart_bits_never_part_near_sets():
     rng = np.random.default_rng(4)
     for n in (0, 1, 5, 63, 64, 65, 300, 3000):
